@@ -11,8 +11,18 @@ class ContractError(ValueError):
     """A table lacks a column its contract requires."""
 
 
+TYPES = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "string": T.StringType(),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """'name type, name type'; needs no session, unlike ``StructType.fromDDL``."""
+    pairs = [column.split() for column in spec.split(",")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 ACTIVITY = _struct(

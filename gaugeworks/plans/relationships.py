@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.dedup import keep_any
@@ -130,3 +130,20 @@ def similarity_matrix(similarity: DataFrame) -> DataFrame:
     return similarity.select(
         "target_a_name", "target_b_name", "shared_compounds", "jaccard"
     ).orderBy(F.col("jaccard").desc(), "target_a_name", "target_b_name")
+
+
+def ranked_targets(edges: DataFrame) -> DataFrame:
+    """Batch form: the targets of every compound with their place, strongest first."""
+    strongest = Window.partitionBy("molecule_chembl_id").orderBy(
+        F.col("best_pchembl").desc_nulls_last(),
+        F.col("best_potency_nm").asc_nulls_last(),
+        F.col("target_chembl_id").asc(),
+    )
+    return edges.select(
+        "molecule_chembl_id",
+        "target_chembl_id",
+        "best_pchembl",
+        "best_potency_nm",
+        "n_measurements",
+        F.row_number().over(strongest).alias("place"),
+    )
