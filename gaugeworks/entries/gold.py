@@ -183,7 +183,7 @@ def fact_star(spark, sf_dir):
     twin(f"select activity_id, standard_type, pchembl_value from fact where {PREDICATE}"),
 )
 def curated_predicate(spark, sf_dir):
-    facts = Warehouse(spark, sf_dir).facts
+    facts = Warehouse(spark, sf_dir).graded
     return facts.filter(RULES.predicate()).select("activity_id", "standard_type", "pchembl_value")
 
 
@@ -195,7 +195,7 @@ def curated_predicate(spark, sf_dir):
     ),
 )
 def exclusion_reason(spark, sf_dir):
-    return Warehouse(spark, sf_dir).facts.select(
+    return Warehouse(spark, sf_dir).graded.select(
         "activity_id",
         RULES.reason().alias("outcome"),
         RULES.reason(unknown_passes=[TYPE_REASON]).alias("lenient_outcome"),
@@ -244,28 +244,28 @@ def assay_quality(spark, sf_dir):
 
 @query("dq_volume", twin(VOLUME))
 def dq_volume(spark, sf_dir):
-    return long_metrics(Warehouse(spark, sf_dir).facts, gold.volume())
+    return long_metrics(Warehouse(spark, sf_dir).stg_activity, gold.volume())
 
 
 @query("dq_completeness", twin(COMPLETENESS))
 def dq_completeness(spark, sf_dir):
-    return long_metrics(Warehouse(spark, sf_dir).facts, gold.completeness(CURATION))
+    return long_metrics(Warehouse(spark, sf_dir).graded, gold.completeness(CURATION))
 
 
 @query("dq_issues", twin(ISSUES))
 def dq_issues(spark, sf_dir):
-    return long_metrics(Warehouse(spark, sf_dir).facts, gold.issues(CURATION))
+    return long_metrics(Warehouse(spark, sf_dir).graded, gold.issues(CURATION))
 
 
 @query("dq_duplicates", twin(DUPLICATES, replicates=True))
 def dq_duplicates(spark, sf_dir):
-    facts = Warehouse(spark, sf_dir, replicates=True).facts
+    facts = Warehouse(spark, sf_dir, replicates=True).stg_undocumented
     return surplus_rows(facts, gold.REPLICATE_KEYS, "duplicate_measurements")
 
 
 @query("dq_excluded", twin(EXCLUDED))
 def dq_excluded(spark, sf_dir):
-    found = exclusion_histogram(Warehouse(spark, sf_dir).facts, RULES)
+    found = exclusion_histogram(Warehouse(spark, sf_dir).graded, RULES)
     return found.select(
         F.lit("excluded_by_reason").alias("metric_group"),
         F.col("exclusion_reason").alias("metric"),

@@ -17,7 +17,7 @@ def _warehouse(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return memberships(_warehouse(spark, sf_dir).curated, "molecule_chembl_id", "target_chembl_id")
+    return memberships(_warehouse(spark, sf_dir).curated_ids, "molecule_chembl_id", "target_chembl_id")
 
 
 @query("edge_mart", twin("select * from edges", CURATED, EDGES, replicates=True))

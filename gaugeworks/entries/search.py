@@ -12,6 +12,7 @@ from gaugeworks.operators.bm25 import bm25_topk
 from gaugeworks.operators.search import bool_query, postings, search_evidence, terms_aggregation
 from gaugeworks.operators.vectors import EMBEDDING_DIM, hashed_embedding, knn_cosine
 from gaugeworks.plans import corpus, serving
+from gaugeworks.session import materialize, spread
 
 
 def fold_sql(column: str) -> str:
@@ -35,7 +36,7 @@ def tokens_sql(column: str) -> str:
        group by all""",
 )
 def token_postings(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return postings(docs, "doc_id", {"text": "text", "source": "source"})
 
 
@@ -192,7 +193,7 @@ ranked_docs as (
        select query_id, item_id, rank, score from ranked_docs""",
 )
 def bm25_topk_entry(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select(
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.substring_index("text", "\n", 1).alias("title"), "text"
     )
     return bm25_topk(
@@ -254,7 +255,7 @@ def buckets_sql(column: str) -> str:
        select doc_id, cast(dim as int) as dim, round(cast(n / norm as float)::double, 5) as weight from counts join norms using (doc_id)""",
 )
 def embed_documents(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     vectors = hashed_embedding(docs, F.col("text")).select("doc_id", "embedding")
     weights = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "w"))
     return weights.filter("w > 0").select("doc_id", "dim", F.round(F.col("w").cast("double"), 5).alias("weight"))
@@ -344,7 +345,7 @@ QUESTIONS_SQL = """questions as (
     ),
 )
 def knowledge_search_keyword(spark, sf_dir):
-    return corpus.search_passages(_passages(spark, sf_dir), _questions(spark, sf_dir), mode="keyword")
+    return corpus.search_passages(materialize(_passages(spark, sf_dir)), _questions(spark, sf_dir), mode="keyword")
 
 
 def vector_sql(table: str, key: str, text: str, out: str) -> str:
@@ -377,6 +378,6 @@ def vector_sql(table: str, key: str, text: str, out: str) -> str:
     ),
 )
 def knowledge_search_semantic(spark, sf_dir):
-    vectors = corpus.embed_passages(_passages(spark, sf_dir))
+    vectors = materialize(corpus.embed_passages(_passages(spark, sf_dir)))
     asked = hashed_embedding(_questions(spark, sf_dir), F.col("text"))
     return corpus.search_passages(vectors, asked, doc_type="target_summary")

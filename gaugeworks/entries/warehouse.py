@@ -15,15 +15,44 @@ from pyspark.sql import functions as F
 
 from gaugeworks.plans import gold, relationships, silver
 from gaugeworks.plans.bronze import with_base_value
-
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
+from gaugeworks.session import spread
+
+# Declared, so that reading a table starts no job to look at its footer.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def line_id() -> Column:
@@ -73,6 +102,25 @@ def priority_confidence(priority: str = "o_orderpriority") -> Column:
     )
 
 
+def _activity_columns(df: DataFrame) -> DataFrame:
+    return df.select(
+        "activity_id",
+        "molecule_chembl_id",
+        "target_chembl_id",
+        "assay_chembl_id",
+        "document_chembl_id",
+        "standard_type",
+        "standard_relation",
+        "standard_value",
+        "standard_units",
+        "standard_value_nm",
+        "units_note",
+        "pchembl_value",
+        F.lit(None).cast("string").alias("activity_comment"),
+        "data_validity_comment",
+    )
+
+
 class Warehouse:
     """Bronze, silver and gold of one benchmark directory, each a lazy DataFrame.
 
@@ -91,7 +139,7 @@ class Warehouse:
     @cached_property
     def measured_lines(self) -> DataFrame:
         """Line items with type, value, unit and base value, before any join."""
-        measured = self.table("lineitem").select(
+        measured = spread(self.table("lineitem")).select(
             line_id().alias("activity_id"),
             "l_orderkey",
             "l_suppkey",
@@ -109,34 +157,25 @@ class Warehouse:
         )
 
     @cached_property
-    def activity(self) -> DataFrame:
+    def measurements(self) -> DataFrame:
+        """Line items with compound, target and assay ids; no document yet."""
         nation = self.table("supplier").select(
             F.col("s_suppkey").alias("_supp"), F.col("s_nationkey").alias("target_chembl_id")
         )
+        lines = self.measured_lines
+        assay = "l_suppkey" if self.replicates else "l_orderkey"
+        return lines.join(nation, lines["l_suppkey"] == nation["_supp"], "left").withColumn(
+            "assay_chembl_id", F.col(assay)
+        )
+
+    @cached_property
+    def activity(self) -> DataFrame:
         customer = self.table("orders").select(
             F.col("o_orderkey").alias("_order"), F.col("o_custkey").alias("document_chembl_id")
         )
-        lines = self.measured_lines
-        assay = "l_suppkey" if self.replicates else "l_orderkey"
-        return (
-            lines.join(nation, lines["l_suppkey"] == nation["_supp"], "left")
-            .join(customer, lines["l_orderkey"] == customer["_order"], "left")
-            .select(
-                "activity_id",
-                "molecule_chembl_id",
-                "target_chembl_id",
-                F.col(assay).alias("assay_chembl_id"),
-                "document_chembl_id",
-                "standard_type",
-                "standard_relation",
-                "standard_value",
-                "standard_units",
-                "standard_value_nm",
-                "units_note",
-                "pchembl_value",
-                F.lit(None).cast("string").alias("activity_comment"),
-                "data_validity_comment",
-            )
+        lines = self.measurements
+        return _activity_columns(
+            lines.join(customer, lines["l_orderkey"] == customer["_order"], "left")
         )
 
     @cached_property
@@ -206,6 +245,14 @@ class Warehouse:
     def stg_activity(self) -> DataFrame:
         return silver.stage_activity(self.activity)
 
+    @cached_property
+    def stg_undocumented(self) -> DataFrame:
+        """Staged measurements for the marts that do not look at documents."""
+        none = F.lit(None).cast("bigint")
+        return silver.stage_activity(
+            _activity_columns(self.measurements.withColumn("document_chembl_id", none))
+        )
+
     # ---- gold
 
     @cached_property
@@ -221,30 +268,54 @@ class Warehouse:
     def facts(self) -> DataFrame:
         return gold.fact(self.stg_activity, self.dims)
 
+    @cached_property
+    def graded(self) -> DataFrame:
+        """Measurements with their assay's confidence: all the contract and counts need."""
+        return gold.attach(self.stg_undocumented, self.dims, ("assay",))
+
     @cached_property
     def curated(self) -> DataFrame:
         return gold.curated_mart(self.facts, self.dims)
 
+    @cached_property
+    def curated_ids(self) -> DataFrame:
+        """Curated rows with ids and values only."""
+        return gold.curated_rows(self.graded)
+
+    @cached_property
+    def curated_named(self) -> DataFrame:
+        """Curated rows with compound and target names."""
+        compound = self.dims.compound.select(
+            "molecule_chembl_id", F.col("pref_name").alias("compound_name")
+        )
+        target = self.dims.target.select("target_chembl_id", "target_name")
+        return self.curated_ids.join(compound, "molecule_chembl_id", "left").join(
+            target, "target_chembl_id", "left"
+        )
+
     @cached_property
     def summary(self) -> DataFrame:
-        return gold.target_activity_summary(self.facts, self.curated, self.dims.target)
+        return gold.target_activity_summary(
+            self.stg_undocumented, self.curated_ids, self.dims.target
+        )
 
     @cached_property
     def profile(self) -> DataFrame:
-        return gold.compound_profile(self.facts, self.curated, self.dims.compound)
+        return gold.compound_profile(self.stg_undocumented, self.curated_ids, self.dims.compound)
 
     @cached_property
     def quality(self) -> DataFrame:
-        return gold.assay_quality(self.facts, self.dims.assay, self.dims.target)
+        keyed = gold.attach(self.stg_undocumented, self.dims, ("assay", "target"))
+        return gold.assay_quality(keyed, self.dims.assay, self.dims.target)
 
     @cached_property
     def dq(self) -> DataFrame:
-        return gold.data_quality_summary(self.facts)
+        return gold.data_quality_summary(gold.attach(self.stg_activity, self.dims, ("assay",)))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return relationships.compound_target_edges(self.curated)
+        return relationships.compound_target_edges(self.curated_named)
 
     @cached_property
     def similarity(self) -> DataFrame:
-        return relationships.target_similarity(self.curated)
+        return relationships.target_similarity(self.curated_ids, self.dims.target)

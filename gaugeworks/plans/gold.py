@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -111,17 +112,20 @@ FACT_COLUMNS = (
 )
 
 
+def attach(activity: DataFrame, dims: Dimensions, names: Sequence[str]) -> DataFrame:
+    """The measurements with the keys of the named dimensions (and the assay's confidence)."""
+    known = {
+        "assay": Dimension(dims.assay, "assay_key", "assay_chembl_id", ("confidence_score",)),
+        "target": Dimension(dims.target, "target_key", "target_chembl_id"),
+        "compound": Dimension(dims.compound, "compound_key", "molecule_chembl_id"),
+        "document": Dimension(dims.document, "document_key", "document_chembl_id"),
+    }
+    return attach_keys(activity, [known[n] for n in names])
+
+
 def fact(activity: DataFrame, dims: Dimensions) -> DataFrame:
     """One row per measurement, good or bad, with dimension keys and the assay's confidence."""
-    keyed = attach_keys(
-        activity,
-        [
-            Dimension(dims.assay, "assay_key", "assay_chembl_id", ("confidence_score",)),
-            Dimension(dims.target, "target_key", "target_chembl_id"),
-            Dimension(dims.compound, "compound_key", "molecule_chembl_id"),
-            Dimension(dims.document, "document_key", "document_chembl_id"),
-        ],
-    )
+    keyed = attach(activity, dims, ("assay", "target", "compound", "document"))
     return keyed.select(*FACT_COLUMNS)
 
 

@@ -23,15 +23,16 @@ def compound_target_edges(curated: DataFrame) -> DataFrame:
     )
 
 
-def target_similarity(curated: DataFrame) -> DataFrame:
+def target_similarity(curated: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Target pairs that share curated compounds, stored once with a < b.
 
-    Names are joined to the finished pairs, so ids alone travel through the
-    pairing.
+    Ids alone travel through the pairing; names are joined to the finished pairs,
+    from the target dimension when it is given, else from the curated rows.
     """
     pairs = jaccard_similarity(curated, "molecule_chembl_id", "target_chembl_id")
     names = keep_any(
-        curated.select("target_chembl_id", "target_name").distinct(), ["target_chembl_id"]
+        (curated if targets is None else targets).select("target_chembl_id", "target_name").distinct(),
+        ["target_chembl_id"],
     )
     name_a = names.select(
         F.col("target_chembl_id").alias("group_a"), F.col("target_name").alias("target_a_name")
@@ -40,8 +41,8 @@ def target_similarity(curated: DataFrame) -> DataFrame:
         F.col("target_chembl_id").alias("group_b"), F.col("target_name").alias("target_b_name")
     )
     return (
-        pairs.join(name_a, "group_a")
-        .join(name_b, "group_b")
+        pairs.join(name_a, "group_a", "left")
+        .join(name_b, "group_b", "left")
         .select(
             F.col("group_a").alias("target_a"),
             "target_a_name",

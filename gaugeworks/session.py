@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Behaviour, not sizing: sizes belong to the cluster's own configuration.
 SETTINGS = {
@@ -13,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # call-site capture costs a round trip per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -24,6 +27,7 @@ def local_session(cores: str | None = None, memory: str = "8g", **extra: str) ->
         .appName("gaugeworks")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     )
@@ -32,3 +36,39 @@ def local_session(cores: str | None = None, memory: str = "8g", **extra: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors reach, from ``spark.checkpoint.dir``.
+
+    Only a local session may fall back to a folder of its own; on a cluster a
+    machine-local folder would lose data with the machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that several consumers read to the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and gives later plans real sizes.
+    """
+    path = f"{shared_folder(df.sparkSession)}/gaugeworks-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that has fewer splits than there are cores.
+
+    A small file is one split and would be worked on by one task. A large input
+    has far more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
