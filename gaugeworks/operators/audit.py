@@ -59,7 +59,7 @@ def audit_sql_log(
     flat = F.trim(F.regexp_replace(bare, r"\s+", " "))
     cleaned = F.trim(F.regexp_replace(flat, ";+$", ""))
     parsed = df.withColumn("_clean", cleaned).withColumn(
-        "_parts", F.filter(F.transform(F.split("_clean", ";"), F.trim), lambda s: s != "")
+        "_parts", F.filter(F.transform(F.split("_clean", ";"), lambda s: F.trim(s)), lambda s: s != "")
     )
 
     stmt = F.coalesce(F.get("_parts", F.lit(0)), F.lit(""))

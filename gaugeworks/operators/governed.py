@@ -107,18 +107,18 @@ def _read_tables(node, ctes: frozenset[str], found: list[tuple[str, ...]]) -> No
             ctes = ctes | {relation._1().lower()}
     for expression in _expressions(node):
         _check_function(expression)
-        if hasattr(expression, "plan") and "Subquery" in _base_kinds(expression):
+        if "PlanExpression" in _class_names(expression):
             _read_tables(expression.plan(), ctes, found)
     for child in _items(node.children()):
         _read_tables(child, ctes, found)
 
 
-def _base_kinds(expression) -> str:
-    kinds, cls = [], expression.getClass()
+def _class_names(expression) -> set[str]:
+    names, cls = set(), expression.getClass()
     while cls is not None:
-        kinds.append(cls.getSimpleName())
+        names.add(cls.getSimpleName())
         cls = cls.getSuperclass()
-    return " ".join(kinds)
+    return names
 
 
 def check_sql(spark: SparkSession, sql: str, policy: Policy = Policy()) -> tuple[tuple[str, ...], int]:

@@ -195,13 +195,17 @@ def explain_rows(
     )
 
 
-def explained_totals(rows: DataFrame) -> DataFrame:
-    """Included and excluded among the rows shown (not among all rows)."""
-    return rows.agg(
+def outcome_counts() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("result_count"),
         F.count_if(F.col("curation_outcome") == INCLUDED).alias("included"),
         F.count_if(F.col("curation_outcome") != INCLUDED).alias("excluded"),
-    )
+    ]
+
+
+def explained_totals(rows: DataFrame) -> DataFrame:
+    """Included and excluded among the rows shown (not among all rows)."""
+    return rows.agg(*outcome_counts())
 
 
 def excluded_by_reason(quality: DataFrame) -> DataFrame:

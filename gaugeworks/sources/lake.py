@@ -64,8 +64,14 @@ def publish(
     jdbc: JdbcConfig | None = None,
     path: str | None = None,
     schema: str = SERVING_SCHEMA,
+    catalog: bool = False,
 ) -> list[str]:
-    """Copy every table of a database to the serving store (JDBC or a parquet root)."""
+    """Copy every table of a database to the serving store.
+
+    The store is a JDBC schema, a parquet root, a database of this catalog, or several of them.
+    """
+    if catalog:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
     names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
     for name in names:
         df = spark.table(f"{database}.{name}")
@@ -73,6 +79,16 @@ def publish(
             replace_table(df, jdbc, f"{schema}.{name}")
         if path is not None:
             write_parquet(df, f"{path}/{name}")
+        if catalog:
+            write_snapshot(df, f"{schema}.{name}")
+    return names
+
+
+def bare_views(spark: SparkSession, database: str = SERVING_SCHEMA) -> list[str]:
+    """A temp view of the same name for every table of a database, for unqualified SQL."""
+    names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
+    for name in names:
+        spark.table(f"{database}.{name}").createOrReplaceTempView(name)
     return names
 
 
