@@ -36,7 +36,7 @@ def tokens_sql(column: str) -> str:
        group by all""",
 )
 def token_postings(spark, sf_dir):
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     return postings(docs, "doc_id", {"text": "text", "source": "source"})
 
 
@@ -193,7 +193,7 @@ ranked_docs as (
        select query_id, item_id, rank, score from ranked_docs""",
 )
 def bm25_topk_entry(spark, sf_dir):
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", F.substring_index("text", "\n", 1).alias("title"), "text"
     )
     return bm25_topk(
@@ -255,7 +255,7 @@ def buckets_sql(column: str) -> str:
        select doc_id, cast(dim as int) as dim, round(cast(n / norm as float)::double, 5) as weight from counts join norms using (doc_id)""",
 )
 def embed_documents(spark, sf_dir):
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     vectors = hashed_embedding(docs, F.col("text")).select("doc_id", "embedding")
     weights = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "w"))
     return weights.filter("w > 0").select("doc_id", "dim", F.round(F.col("w").cast("double"), 5).alias("weight"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.plans import gold, relationships, silver
 from gaugeworks.plans.bronze import with_base_value
-from gaugeworks.session import spread
+from gaugeworks.session import configure, spread
 
 # Declared, so that reading a table starts no job to look at its footer.
 TABLES = {
@@ -129,7 +129,7 @@ class Warehouse:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, replicates: bool = False):
-        self.spark, self.sf_dir, self.replicates = spark, sf_dir, replicates
+        self.spark, self.sf_dir, self.replicates = configure(spark), sf_dir, replicates
 
     def table(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
@@ -139,7 +139,7 @@ class Warehouse:
     @cached_property
     def measured_lines(self) -> DataFrame:
         """Line items with type, value, unit and base value, before any join."""
-        measured = spread(self.table("lineitem")).select(
+        measured = spread(self.table("lineitem"), "l_orderkey").select(
             line_id().alias("activity_id"),
             "l_orderkey",
             "l_suppkey",
@@ -310,7 +310,8 @@ class Warehouse:
 
     @cached_property
     def dq(self) -> DataFrame:
-        return gold.data_quality_summary(gold.attach(self.stg_activity, self.dims, ("assay",)))
+        graded = gold.attach(self.stg_activity, self.dims, ("assay",))
+        return gold.data_quality_summary(graded, measurements=self.stg_undocumented)
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -24,8 +24,7 @@ def empty_to_null(c: Column | str) -> Column:
 
 def nan_to_null(c: Column | str) -> Column:
     """NaN sorts above every number, so it has to go before any max or rank."""
-    c = as_column(c)
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(as_column(c), F.lit(None).cast("double"))
 
 
 def finite_or_null(c: Column | str) -> Column:

@@ -93,22 +93,37 @@ def terms_aggregation(df: DataFrame, field: str, buckets: int = DEFAULT_BUCKETS)
     )
 
 
+def term_counts(words: Column) -> Column:
+    """array<struct<term, tf>> of a sorted word array: one entry per run of equal words."""
+    at = F.filter(
+        F.sequence(F.lit(1), F.size(words)),
+        lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)),
+    )
+    end = F.array_append(F.slice(at, 2, F.size(words)), F.size(words) + 1)
+    return F.zip_with(
+        at,
+        end,
+        lambda i, j: F.struct(F.get(words, i - 1).alias("term"), (j - i).cast("bigint").alias("tf")),
+    )
+
+
 def postings(df: DataFrame, doc_id: str, fields: Mapping[str, str]) -> DataFrame:
-    """(field, term, doc_id, tf): how often each term occurs in each field.
+    """(field, term, doc_id, tf): how often each term occurs in each field of a document.
 
-    Counting combines on the map side; a row per occurrence is never shuffled.
+    A document is one row, so its terms are counted inside the row: sorted, then
+    measured run by run. No word is shuffled.
     """
-    per_field = F.inline(
+    sorted_words = F.inline(
         F.array(
             *[
-                F.struct(F.lit(name).alias("field"), tokens(column).alias("words"))
+                F.struct(F.lit(name).alias("field"), F.sort_array(tokens(column)).alias("words"))
                 for name, column in fields.items()
             ]
         )
     )
     return (
-        df.select(F.col(doc_id).alias("doc_id"), per_field)
-        .select("doc_id", "field", F.explode("words").alias("term"))
-        .groupBy("field", "term", "doc_id")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        df.select(F.col(doc_id).alias("doc_id"), sorted_words)
+        .filter(F.size("words") > 0)
+        .select("field", "doc_id", F.inline(term_counts(F.col("words"))))
+        .select("field", "term", "doc_id", "tf")
     )

@@ -109,8 +109,11 @@ def enrich_targets(seeds: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def only_seen(df: DataFrame, key: str, seen: DataFrame, seen_key: str) -> DataFrame:
-    """The rows whose key occurs in another table (a semi-join, no id batches)."""
-    ids = seen.select(F.col(seen_key).alias("_seen")).filter(F.col("_seen").isNotNull())
+    """The rows whose key occurs in another table (a semi-join, no id batches).
+
+    The ids are made distinct first, so a hot key crosses the network once per task.
+    """
+    ids = seen.select(F.col(seen_key).alias("_seen")).filter(F.col("_seen").isNotNull()).distinct()
     return df.join(ids, df[key] == ids["_seen"], "left_semi")
 
 

@@ -378,10 +378,17 @@ def issues(curation: Curation) -> list:
     return issue_metrics(conditions)
 
 
-def data_quality_summary(facts: DataFrame, curation: Curation | None = None) -> DataFrame:
-    """All metrics as (metric_group, metric, value): one pass, plus one for replicates."""
+def data_quality_summary(
+    facts: DataFrame, curation: Curation | None = None, measurements: DataFrame | None = None
+) -> DataFrame:
+    """All metrics as (metric_group, metric, value): one pass, plus one for replicates.
+
+    ``measurements``, when given, is the staged table behind the fact: replicates
+    need no dimension, so they can be counted without any of the fact's joins.
+    """
     curation = curation or Curation()
     metrics = [*volume(), *completeness(curation), *issues(curation)]
     single_pass = long_metrics(facts, [*metrics, *exclusion_metrics(curation.rules)])
     seen = single_pass.filter("metric_group <> 'excluded_by_reason' or value > 0")
-    return seen.unionByName(surplus_rows(facts, REPLICATE_KEYS, "duplicate_measurements"))
+    repeated = facts if measurements is None else measurements
+    return seen.unionByName(surplus_rows(repeated, REPLICATE_KEYS, "duplicate_measurements"))

@@ -9,10 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Behaviour, not sizing: sizes belong to the cluster's own configuration.
-SETTINGS = {
+# A hot join key is split at run time, even where that costs another shuffle.
+ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+SETTINGS = {
+    **ADAPTIVE,
     "spark.sql.session.timeZone": "UTC",
     # call-site capture costs a round trip per column expression
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -38,6 +43,13 @@ def local_session(cores: str | None = None, memory: str = "8g", **extra: str) ->
     return spark
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Turn on the adaptive behaviour the plans count on, in a session of any origin."""
+    for key, value in ADAPTIVE.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, from ``spark.checkpoint.dir``.
 
@@ -64,11 +76,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on an input that has fewer splits than there are cores.
 
     A small file is one split and would be worked on by one task. A large input
     has far more splits than cores and is returned as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
