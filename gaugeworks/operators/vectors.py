@@ -29,7 +29,7 @@ def list_matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A list column of equal-length vectors as one float64 matrix (no row loop)."""
     values = column.combine_chunks()
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(values), -1)
+    return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
 
 def token_buckets(text: Column | str, dim: int = EMBEDDING_DIM) -> Column:
