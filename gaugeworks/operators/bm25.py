@@ -25,7 +25,8 @@ def field_statistics(
     """(field, term, docs_with_term, n_docs, total_length) for the terms that queries use.
 
     Counts are combined on the map side, so a term found in every document
-    costs one row per task.
+    costs one row per task. A vocabulary small enough to broadcast is pushed
+    below the aggregation by the optimizer; a large one meets counts, not words.
     """
     per_field = words.select(
         F.inline(
@@ -39,9 +40,9 @@ def field_statistics(
     )
     frequencies = (
         per_field.select("field", F.explode(F.array_distinct("words")).alias("term"))
-        .join(vocabulary, "term", "left_semi")
         .groupBy("field", "term")
         .agg(F.count(F.lit(1)).alias("docs_with_term"))
+        .join(vocabulary, "term", "left_semi")
     )
     return frequencies.join(lengths, "field")
 

@@ -49,42 +49,42 @@ GLOSSARY = {
     "ic50": (
         "IC50",
         "Concentration at which a compound halves a measured activity. Stored in nM.",
-        "lower is more potent",
+        "a low value means potent",
     ),
     "ki": (
         "Ki",
         "Equilibrium constant for an inhibitor binding its target. Stored in nM.",
-        "lower is tighter binding",
+        "a low value means tight binding",
     ),
     "kd": (
         "Kd",
         "Concentration at which half of the target is occupied at equilibrium. Stored in nM.",
-        "lower is higher affinity",
+        "a low value means high affinity",
     ),
     "ec50": (
         "EC50",
         "Concentration that gives half of the largest effect a compound reaches. Stored in nM.",
-        "lower is more potent",
+        "a low value means potent",
     ),
     "pchembl": (
         "pChEMBL value",
         "Minus the base-10 logarithm of a molar activity value, so 7 stands for 100 nM.",
-        "higher is more potent",
+        "a high value means potent",
     ),
     "confidence_score": (
         "Assay confidence score",
         "A 0 to 9 grade of how directly an assay is tied to its target; 7 or more is curated.",
-        "higher is more reliable",
+        "a high value means a reliable link to the target",
     ),
     "standard_relation": (
         "Standard relation",
         "The sign in front of a measured value; only '=' or no sign counts as comparable.",
-        "other signs are left out of curation",
+        "only an exact value is curated",
     ),
     "data_validity_comment": (
         "Data validity comment",
         "A note that a measurement may be wrong; a row with such a note is not curated.",
-        "presence leaves a row out of curation",
+        "a comment keeps the row out of the curated mart",
     ),
 }
 

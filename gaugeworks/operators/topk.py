@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.dedup import top_per_group
+from gaugeworks.session import materialize
 
 QUERY_BLOCK = 1024
 ITEM_CHUNK = 20_000
@@ -103,6 +104,7 @@ def scored_topk(
 def _blocked(
     items: DataFrame, queries: DataFrame, scorer: Scorer, k: int, query_block: int, schema: str
 ) -> DataFrame:
+    queries = materialize(queries)  # counted, then read by every chunk of items
     blocks = -(-queries.count() // query_block)
     chunks = max(1, -(-items.count() // ITEM_CHUNK))
 
