@@ -8,3 +8,11 @@ Layout
 ``plans``      the bronze -> silver -> gold -> relationship -> serving plans
 ``entries``    the registered queries and their SQL twins
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so a cluster needs
+# no copy of the package on its workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

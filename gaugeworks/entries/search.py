@@ -11,7 +11,7 @@ from gaugeworks.functions.text import FOLD_FROM, FOLD_TO, LIGATURES, matches_any
 from gaugeworks.operators.bm25 import bm25_topk
 from gaugeworks.operators.search import bool_query, postings, search_evidence, terms_aggregation
 from gaugeworks.operators.vectors import EMBEDDING_DIM, hashed_embedding, knn_cosine
-from gaugeworks.plans import corpus, serving
+from gaugeworks.plans import corpus, relationships, serving
 from gaugeworks.session import materialize, spread
 
 
@@ -311,7 +311,8 @@ MARTS = (CURATED, SUMMARY, SIMILARITY, QUALITY)
 def _passages(spark, sf_dir):
     w = Warehouse(spark, sf_dir, replicates=True)
     medians = {c: F.round(c, 4) for c in ("median_potency_nm", "median_pchembl")}
-    return corpus.passages(w.summary.withColumns(medians), w.similarity, w.quality)
+    similarity = relationships.target_similarity(w.curated_table, w.dims.target)
+    return corpus.passages(w.summary.withColumns(medians), similarity, w.quality)
 
 
 @query("knowledge_passages", twin("select * from passages", *MARTS, PASSAGES_SQL, replicates=True))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.plans import gold, relationships, silver
 from gaugeworks.plans.bronze import with_base_value
-from gaugeworks.session import configure, spread
+from gaugeworks.session import configure, materialize, spread
 
 # Declared, so that reading a table starts no job to look at its footer.
 TABLES = {
@@ -282,6 +282,19 @@ class Warehouse:
         """Curated rows with ids and values only."""
         return gold.curated_rows(self.graded)
 
+    @cached_property
+    def curated_table(self) -> DataFrame:
+        """Curated ids and values as a written table, for marts that read them more than once."""
+        return materialize(
+            self.curated_ids.select(
+                "activity_id",
+                "molecule_chembl_id",
+                "target_chembl_id",
+                "standard_value_nm",
+                "pchembl_value",
+            )
+        )
+
     @cached_property
     def curated_named(self) -> DataFrame:
         """Curated rows with compound and target names."""
@@ -296,7 +309,7 @@ class Warehouse:
     @cached_property
     def summary(self) -> DataFrame:
         return gold.target_activity_summary(
-            self.stg_undocumented, self.curated_ids, self.dims.target
+            self.stg_undocumented, self.curated_table, self.dims.target
         )
 
     @cached_property

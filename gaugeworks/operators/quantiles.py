@@ -84,15 +84,14 @@ def exact_quantiles(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     ranked = inside.withColumn("_through", F.col("_before") + F.sum("_n").over(running))
-    picked = ranked.groupBy(*group).agg(
-        F.min(F.when(F.col("_through") > F.col("_low"), F.col("_value"))).alias("_lo"),
-        F.min(F.when(F.col("_through") > F.col("_high"), F.col("_value"))).alias("_hi"),
-        F.first("_share").alias("_share"),
-    )
-    quantile = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_share")
-    return picked.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("_measure") == out, quantile)).alias(out)
-            for out in values
-        ]
-    )
+
+    def reached(out: str, rank: str) -> Column:
+        hit = (F.col("_measure") == out) & (F.col("_through") > F.col(rank))
+        return F.min(F.when(hit, F.col("_value")))
+
+    quantile = {}
+    for out in values:
+        low, high = reached(out, "_low"), reached(out, "_high")
+        share = F.max(F.when(F.col("_measure") == out, F.col("_share")))
+        quantile[out] = (low + (high - low) * share).alias(out)
+    return ranked.groupBy(*keys).agg(*quantile.values())
