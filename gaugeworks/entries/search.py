@@ -10,7 +10,13 @@ from gaugeworks.entries.warehouse import Warehouse, load
 from gaugeworks.functions.text import FOLD_FROM, FOLD_TO, LIGATURES, matches_any
 from gaugeworks.operators.bm25 import bm25_topk
 from gaugeworks.operators.search import bool_query, postings, search_evidence, terms_aggregation
-from gaugeworks.operators.vectors import EMBEDDING_DIM, hashed_embedding, knn_cosine
+from gaugeworks.operators.vectors import (
+    EMBEDDING_DIM,
+    build_cells,
+    hashed_embedding,
+    knn_cells,
+    knn_cosine,
+)
 from gaugeworks.plans import corpus, relationships, serving
 from gaugeworks.session import materialize, spread
 
@@ -221,9 +227,7 @@ def _label_queries(items):
     )
 
 
-@query(
-    "knn_cosine",
-    """with parts as (select label, vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim
+KNN_SQL = """with parts as (select label, vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim
                       from embeddings),
        means as (select label as query_id, dim, avg(x) as x from parts group by 1, 2),
        qnorm as (select query_id, sqrt(sum(x * x)) as n from means group by 1),
@@ -233,13 +237,23 @@ def _label_queries(items):
                   from dots join qnorm q using (query_id) join vnorm v using (vec_id))
        select query_id, item_id, score,
          cast(row_number() over (partition by query_id order by score desc, item_id) as int) as rank
-       from scored qualify rank <= 20""",
-)
+       from scored qualify rank <= 20"""
+
+
+@query("knn_cosine", KNN_SQL)
 def knn_cosine_entry(spark, sf_dir):
     items = load(spark, sf_dir, "embeddings")
     return knn_cosine(items.withColumnRenamed("vec_id", "item_id"), _label_queries(items), 20)
 
 
+@query("knn_cells", KNN_SQL)
+def knn_cells_entry(spark, sf_dir):
+    """The cell index with every cell probed, which must give the exact answer."""
+    items = load(spark, sf_dir, "embeddings")
+    index = build_cells(items.select(F.col("vec_id").alias("item_id"), "embedding"), cells=8)
+    return knn_cells(index, _label_queries(items), 20, probes=8)
+
+
 def buckets_sql(column: str) -> str:
     return (
         f"list_transform({tokens_sql(column)}, "

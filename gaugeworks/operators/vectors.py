@@ -1,17 +1,21 @@
-"""Dense vectors: hashed text embedding and exact cosine top-k."""
+"""Dense vectors: hashed text embedding, exact and cell-wise cosine top-k."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import tokens
-from gaugeworks.operators.topk import scored_topk
+from gaugeworks.operators.topk import QUERY_BLOCK, scored_topk
 
 EMBEDDING_DIM = 384
 MAX_PASSAGES = 20
@@ -109,3 +113,64 @@ def knn_cosine(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         cosine_scorer,
         k,
     )
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """Items with the cell of their vector, and the unit centre of every cell.
+
+    Write ``items`` partitioned by ``cell``, and a search reads only the probed cells.
+    """
+
+    items: DataFrame
+    centres: np.ndarray
+
+
+def build_cells(items: DataFrame, cells: int, iterations: int = 10, seed: int = 7) -> CellIndex:
+    """Group the vectors of (item_id, embedding) around ``cells`` centres with k-means."""
+    dense = items.filter(F.col("embedding").isNotNull()).withColumn(
+        "_raw", array_to_vector(F.col("embedding").cast("array<double>"))
+    )
+    unit = Normalizer(inputCol="_raw", outputCol="_unit").transform(dense)
+    means = KMeans(
+        k=cells, featuresCol="_unit", predictionCol="cell", maxIter=iterations, seed=seed
+    ).fit(unit)
+    placed = means.transform(unit).drop("_raw", "_unit")
+    return CellIndex(placed, unit_rows(np.array(means.clusterCenters())))
+
+
+def nearest_cells(query_matrix: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    return np.argsort(-(query_matrix @ centres.T), axis=1, kind="stable")[:, :probes]
+
+
+def cell_scorer(centres: np.ndarray, probes: int):
+    """Cosine to the items of a query's nearest cells; other items do not match."""
+
+    def prepare(queries: pa.Table):
+        query_matrix = unit_rows(list_matrix(queries.column("embedding")))
+        probed = np.zeros((len(query_matrix), len(centres)), dtype=bool)
+        np.put_along_axis(probed, nearest_cells(query_matrix, centres, probes), True, axis=1)
+        score_all = cosine_scorer(queries)
+
+        def score(items: pa.Table) -> np.ndarray:
+            cell = items.column("cell").to_numpy()
+            return np.where(probed[:, cell].T, score_all(items), np.nan)
+
+        return score
+
+    return prepare
+
+
+def knn_cells(index: CellIndex, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """Approximate cosine top-k: exact within the ``probes`` cells nearest to each query.
+
+    With a bounded number of queries, cells that no query probes are not read.
+    """
+    asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    items = index.items.select("item_id", "embedding", "cell")
+    block = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if 0 < block.num_rows <= QUERY_BLOCK:
+        vectors = unit_rows(list_matrix(block.column("embedding")))
+        wanted = np.unique(nearest_cells(vectors, index.centres, probes))
+        items = items.filter(F.col("cell").isin([int(c) for c in wanted]))
+    return scored_topk(items, asked, cell_scorer(index.centres, probes), k)

@@ -271,6 +271,21 @@ def test_knn_brute_force(spark, block):
         assert [g[1] for g in got] == want
 
 
+def test_knn_cells(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(6, 8)) * 5
+    data = [centres[i % 6] + rng.normal(size=8) * 0.2 for i in range(300)]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "item_id int, embedding array<float>")
+    queries = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "query_id int, embedding array<float>")
+    index = vectors.build_cells(items, 6)
+    key = lambda r: (r["query_id"], r["rank"], r["item_id"])
+    exact = sorted(map(key, vectors.knn_cosine(items, queries, 5).collect()))
+    assert sorted(map(key, vectors.knn_cells(index, queries, 5, probes=6).collect())) == exact
+    near = sorted(map(key, vectors.knn_cells(index, queries, 5, probes=2).collect()))
+    assert len(set(near) & set(exact)) >= 0.9 * len(exact)
+    assert index.items.count() == 300
+
+
 def test_knn_without_queries_or_vectors(spark):
     items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "item_id int, embedding array<float>")
     none = spark.createDataFrame([(1, None)], "query_id int, embedding array<float>")
