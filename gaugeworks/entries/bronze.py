@@ -333,6 +333,33 @@ def document_scope_union(spark, sf_dir):
     return bronze.extract_documents(source.docs, source.activities, source.scope)
 
 
+@query(
+    "extracted_entities",
+    f"""with {SOURCE_SQL}, in_scope as (select * from lineitem where l_suppkey in (select assay_id from scope))
+       select 'target' as table_name, count(*) as row_count from targets where chembl_id in (select * from seeds)
+       union all select 'assay', count(*) from scope
+       union all select 'activity', count(*) from in_scope join part on l_partkey = p_partkey
+       union all select 'molecule', count(*) from part where p_partkey in (select l_partkey from in_scope)
+       union all select 'document', count(*) from docs where doc_id in (
+         select doc_id from scope union select l_orderkey from in_scope)""",
+)
+def extracted_entities(spark, sf_dir):
+    """Row counts of all five extracts over one shared scope."""
+    s = Source(spark, sf_dir)
+    return row_counts(
+        bronze.extract_entities(
+            seeds=s.seeds,
+            targets=s.targets,
+            assays=s.assays,
+            activities=s.activities,
+            molecules=s.molecules,
+            structures=s.structures,
+            properties=s.properties,
+            docs=s.docs,
+        )
+    )
+
+
 @query(
     "seed_enrichment",
     """with fetched as (

@@ -135,6 +135,50 @@ def stage_compound(spark, sf_dir):
     return silver.stage_compound(pulls)
 
 
+@query(
+    "stage_assay",
+    """with cleaned as (
+         select l_orderkey as assay_chembl_id, nullif(trim(l_linestatus || ' '), '') as assay_type,
+           nullif(trim(case when l_linenumber % 2 = 0 then ' ' else l_returnflag end), '') as assay_description,
+           l_linenumber as confidence_score, l_suppkey as target_chembl_id
+         from lineitem)
+       select assay_chembl_id, assay_type, assay_description, confidence_score, target_chembl_id from (
+         select *, row_number() over (partition by assay_chembl_id order by assay_type asc nulls last,
+           assay_description asc nulls last, confidence_score asc nulls last, target_chembl_id asc nulls last) as rn
+         from cleaned) where rn = 1""",
+)
+def stage_assay(spark, sf_dir):
+    line = load(spark, sf_dir, "lineitem")
+    pulls = line.select(
+        F.col("l_orderkey").alias("assay_chembl_id"),
+        F.concat("l_linestatus", F.lit(" ")).alias("assay_type"),
+        F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise(F.col("l_returnflag")).alias("assay_description"),
+        F.col("l_linenumber").cast("string").alias("confidence_score"),
+        F.col("l_suppkey").alias("target_chembl_id"),
+    )
+    return silver.stage_assay(pulls)
+
+
+@query(
+    "stage_target",
+    """with cleaned as (
+         select c_nationkey as target_chembl_id, nullif(trim(case when c_custkey % 2 = 0 then '' else c_name end), '')
+           as target_name, c_mktsegment as organism, cast(null as varchar) as target_type
+         from customer)
+       select target_chembl_id, target_name, organism, target_type from (
+         select *, row_number() over (partition by target_chembl_id order by target_name asc nulls last,
+           organism asc nulls last) as rn from cleaned) where rn = 1""",
+)
+def stage_target(spark, sf_dir):
+    pulls = load(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("target_chembl_id"),
+        F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_name")).alias("target_name"),
+        F.concat(F.lit(" "), "c_mktsegment").alias("organism"),
+        F.lit("  ").alias("target_type"),
+    )
+    return silver.stage_target(pulls)
+
+
 @query(
     "surrogate_keys",
     """select l_orderkey, l_linenumber, l_partkey,

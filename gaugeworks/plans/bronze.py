@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.clean import empty_to_null, to_double, to_int
 from gaugeworks.functions.units import NANOMOLAR, UnitScale
 from gaugeworks.operators.dedup import keep_any
+from gaugeworks.session import materialize
 
 # ---------------------------------------------------------------- JSON records
 
@@ -245,3 +246,25 @@ def extract_documents(docs: DataFrame, activities: DataFrame, scope: DataFrame)
         )
         .distinct()
     )
+
+
+def extract_entities(
+    *,
+    seeds: DataFrame,
+    targets: DataFrame,
+    assays: DataFrame,
+    activities: DataFrame,
+    molecules: DataFrame,
+    structures: DataFrame,
+    properties: DataFrame,
+    docs: DataFrame,
+) -> dict[str, DataFrame]:
+    """All five bronze entities. The scope is written once and read by every extract."""
+    scope = materialize(scope_assays(assays, targets, seeds))
+    return {
+        "target": extract_targets(targets, seeds),
+        "assay": extract_assays(scope),
+        "activity": extract_activities(activities, scope, molecules, docs),
+        "molecule": extract_molecules(molecules, structures, properties, activities, scope),
+        "document": extract_documents(docs, activities, scope),
+    }

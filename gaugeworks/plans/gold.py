@@ -28,14 +28,14 @@ REPLICATE_KEYS = ("molecule_chembl_id", "target_chembl_id", "assay_chembl_id", "
 class Curation:
     """The inclusion contract and its low-confidence bound.
 
-    ``unique_ids`` states that ``activity_id`` is unique in the fact (checked by
-    the suite in ``plans.checks``); counting ids is then a plain count. Set it to
-    False to count distinct ids.
+    Ids are counted distinct. ``unique_ids`` states that ``activity_id`` is known to be
+    unique in the fact (the check suite tells); counting is then a plain count,
+    which spares the largest of the distinct expansions.
     """
 
     rules: RuleSet = field(default_factory=potency_rules)
     min_confidence: int = MIN_CONFIDENCE
-    unique_ids: bool = True
+    unique_ids: bool = False
 
     def id_count(self):
         return F.count("activity_id") if self.unique_ids else F.count_distinct("activity_id")
