@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,14 +68,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPES: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result that several consumers read to the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors, and gives later plans real sizes.
+    Cuts the lineage, survives lost executors, and gives later plans real sizes. The
+    files go when the enclosing ``scratch`` scope ends, or else with the application.
     """
-    path = f"{shared_folder(df.sparkSession)}/gaugeworks-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gaugeworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, target = _file_system(spark, path)
+    fs.deleteOnExit(target)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what was materialized inside the block; results must be read before it ends."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            fs, target = _file_system(spark, path)
+            fs.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
