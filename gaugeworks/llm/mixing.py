@@ -3,8 +3,8 @@
 Documents of a source are dealt into blocks by a hash of their id. A source whose target
 is r times its size takes floor(r) whole passes over its blocks and, in one more pass,
 blocks in permuted order up to the rest; the block that crosses the rest gives documents
-in permuted order up to the one that ends nearest to it. Every (pass, block) is one unit
-of the source's quota.
+in permuted order while they fit, and then the one whose size is nearest to what is still
+missing. Every (pass, block) is one unit of the source's quota.
 
 The quotas are split exactly among the output shards: the root holds all quotas; a node
 hands its left half as many units as its shards hold, drawn without replacement from the
@@ -37,7 +37,7 @@ BROADCAST_DRAWS = 500_000
 
 @dataclass(frozen=True)
 class Mix:
-    """sizes: doc_id, source, size. plan: one row per source. draws: s, block, cut, pass, shard, rank."""
+    """sizes: doc_id, source, size. plan: one row per source. draws: s, block, cut, extra, pass, shard, rank."""
 
     sizes: DataFrame
     plan: DataFrame
@@ -216,22 +216,32 @@ def plan_mix(
         "s", "block", (F.col("rest") - (F.col("upto") - F.col("size"))).alias("left")
     )
     inside = Window.partitionBy("s").orderBy("h")
-    before = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    taken = (
+    upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    crossed = (
         dealt.join(crossing, ["s", "block"])
         .groupBy("s", "block", "left", "h")
         .agg(F.sum("size").alias("size"))
-        .withColumn("before", before)
-        .filter("before + size / 2 <= left")
+        .withColumn("upto", upto)
     )
-    cut = taken.groupBy("s", "block").agg(F.max("h").alias("cut"))
-
-    no_cut = F.lit(None).cast("long").alias("cut")
+    crossed = materialize(crossed)
+    fits = F.col("upto") <= F.col("left")
+    cut = crossed.groupBy("s", "block", "left").agg(
+        F.max(F.when(fits, F.col("h"))).alias("cut"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("had")
+    )
+    over = crossed.filter(~fits).join(cut.select("s", "had"), "s")
+    gap = F.col("left") - F.col("had")
+    miss = F.abs(F.col("size") - gap)
+    extra = over.filter(miss < gap).groupBy("s").agg(F.min(F.struct(miss.alias("miss"), "h"))["h"].alias("extra"))
+    lowest = F.lit(-(2**63)).cast("long")
+    # Hashes up to cut are in, and the one called extra; the lowest long stands for none.
+    cut = cut.join(extra, "s", "left").select("s", "block", F.coalesce("cut", lowest).alias("cut"), "extra")
+
+    no_cut = [F.lit(None).cast("long").alias(c) for c in ("cut", "extra")]
     rounds = F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass")
     units = (
-        laid.filter("passes > 0").select("s", "block", no_cut, rounds)
-        .unionByName(whole.select("s", "block", no_cut, F.lit(0).alias("pass")))
-        .unionByName(cut.select("s", "block", "cut", F.lit(0).alias("pass")))
+        laid.filter("passes > 0").select("s", "block", *no_cut, rounds)
+        .unionByName(whole.select("s", "block", *no_cut, F.lit(0).alias("pass")))
+        .unionByName(cut.select("s", "block", "cut", "extra", F.lit(0).alias("pass")))
     )
     order = F.xxhash64(F.lit(seed), F.lit("unit"), F.col("pass"), F.col("block"))
     ranked = units.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy(order, "pass", "block")))
@@ -256,14 +266,21 @@ def _dealt(rows: DataFrame, plan: DataFrame, doc_id: str, seed: int) -> DataFram
     return joined.withColumn("block", block).withColumn("h", h).drop("blocks")
 
 
+def _inside() -> Column:
+    """Is a row of a cut block taken?"""
+    return (F.col("h") <= F.col("cut")) | F.coalesce(F.col("h") == F.col("extra"), F.lit(False))
+
+
 def taken_words(mix: Mix) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (repeats counted)."""
     drawn = mix.draws.groupBy("s", "block").agg(
-        F.sum(F.when(F.col("cut").isNull(), 1).otherwise(0)).alias("times"), F.max("cut").alias("cut")
+        F.sum(F.when(F.col("cut").isNull(), 1).otherwise(0)).alias("times"),
+        F.max("cut").alias("cut"),
+        F.max("extra").alias("extra"),
     )
     dealt = _dealt(mix.sizes, mix.plan, "doc_id", mix.seed)
     facts = mix.plan.select("s", "source_size", "target")
-    times = F.coalesce("times", F.lit(0)) + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)
+    times = F.coalesce("times", F.lit(0)) + F.when(_inside(), 1).otherwise(0)
     return (
         dealt.join(drawn, ["s", "block"], "left")
         .join(facts, "s")
@@ -278,10 +295,10 @@ def mixed(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", source: str = "sour
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
     dealt = _dealt(rows, mix.plan, "doc_id", mix.seed)
-    draws = mix.draws.select("s", "block", "cut", "pass", "shard")
+    draws = mix.draws.select("s", "block", "cut", "extra", "pass", "shard")
     if draws.count() <= BROADCAST_DRAWS:
         draws = F.broadcast(draws)
-    drawn = dealt.join(draws, ["s", "block"]).filter(F.col("cut").isNull() | (F.col("h") <= F.col("cut")))
+    drawn = dealt.join(draws, ["s", "block"]).filter(F.col("cut").isNull() | _inside())
     place = F.xxhash64(F.lit(mix.seed), F.lit("place"), F.col("pass"), F.col("h"))
     return (
         drawn.withColumn("place", place)
