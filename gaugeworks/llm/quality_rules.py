@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 # Labelled rows the list is learned from, at most; the rows with the smallest hashed ids are taken.
 TRAIN_ROWS = 20_000
-MIN_PRECISION = 0.9
+MIN_PRECISION = 0.95
 MIN_COVERED = 8
 MAX_CONDITIONS = 4
 THRESHOLDS = 24
@@ -129,6 +129,16 @@ def features(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"n_words": rows["n_words"].astype(float), **shares})
 
 
+def cuts(values: np.ndarray) -> list[float]:
+    """Thresholds at quantiles of the values, each moved to the middle of the gap above it."""
+    distinct = np.unique(values)
+    if len(distinct) < 2:
+        return []
+    at = np.quantile(values, np.linspace(0.005, 0.995, THRESHOLDS), method="lower")
+    below = np.minimum(np.searchsorted(distinct, np.unique(at)), len(distinct) - 2)
+    return [float(x) for x in np.unique((distinct[below] + distinct[below + 1]) / 2)]
+
+
 def learn(
     table: pd.DataFrame,
     reject: np.ndarray,
@@ -140,7 +150,7 @@ def learn(
     tests, holds = [], []
     for name in table.columns:
         values = table[name].to_numpy()
-        for cut in np.unique(np.quantile(values, np.linspace(0.005, 0.995, THRESHOLDS))) if len(values) else []:
+        for cut in cuts(values):
             tests += [(name, True, float(cut)), (name, False, float(cut))]
             holds += [values > cut, values <= cut]
     if not tests:
@@ -155,7 +165,7 @@ def learn(
             return rules
         covered = left & (matrix[kept].min(axis=0) > 0)
         bad, good = int((covered & prune & reject).sum()), int((covered & prune & ~reject).sum())
-        if bad < min_covered / 2 or (bad + 1) / (bad + good + 2) < min_precision:
+        if bad < min_covered / 2 or bad < min_precision * (bad + good):
             return rules
         rules.append(Rule(tuple(tests[i] for i in kept), bad, good))
         left &= ~covered
@@ -213,7 +223,9 @@ def fit(
     taught = texts.join(F.broadcast(sample), "doc_id").select(
         "label", F.pmod(F.xxhash64("doc_id", F.lit("third")), F.lit(3)).alias("third"), measures("text").alias("m")
     )
-    rows = taught.select("label", "third", "m.*").toPandas().sort_values(["third", "label", *MEASURES])
+    # Texts that fail the base rule are out before the list is asked, so they teach it nothing.
+    passing = taught.filter(~base_failed(F.col("m")))
+    rows = passing.select("label", "third", "m.*").toPandas().sort_values(["third", "label", *MEASURES])
     if rows.empty:
         return []
     return learn(features(rows), (rows["label"] == 0).to_numpy(), (rows["third"] == 0).to_numpy(), **options)
