@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ WINDOW = 4096
 END = 2
 # Pieces packed together in one task, on average.
 GROUP_PIECES = 50_000
-# Distinct words a worker remembers the ids of; when full it starts anew.
-REMEMBERED = 400_000
+# Words a worker remembers the ids of, and as many parts of words; those met later are looked up anew.
+REMEMBERED = 500_000
 GROUP_STRIDE = 1 << 32
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -39,48 +40,69 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins of bytes in byte-level vocabularies: a byte that prints stands for
+    itself, the others are numbered from code point 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in prints)
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Remembered(dict):
+    """Values by key, computed when first asked for; the first REMEMBERED of them are kept."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if len(self) < REMEMBERED:
+            self[key] = value
+        return value
+
+
 class WordIds:
-    """Ids of a text, word by word: what stands between white space is tokenised alone.
+    """Ids of a text, word by word: what stands between ASCII white space is tokenised alone.
 
-    That gives what the tokenizer gives for the whole text when its pre-tokenizer never
-    joins across white space, as here. Ids of a word are remembered; a plain word with
-    punctuation after it is looked up as two parts, each as the pre-tokenizer cuts it.
+    That gives what the tokenizer gives for the whole text when its normaliser and its
+    pre-tokenizer never join across white space, as here. The ids of a word are remembered as
+    bytes. A word of plain Latin letters with punctuation after it is looked up as the two
+    parts that the pre-tokenizer makes of it; any other word goes through the tokenizer.
     """
 
-    PLAIN = re.compile(r"([a-z]+)([.,;:!?]*)\Z")
+    PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#*%$&|]*)\Z")
+    LETTERS = _byte_letters()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.parts: dict[str, tuple[int, ...]] = {"": ()}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        got = self.parts.get(part)
-        if got is None:
-            got = self.parts[part] = tuple(t.id for t in self.model.tokenize(part))
-        return got
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        plain = self.PLAIN.match(word.lower()) if word.isascii() else None
+        self.words = Remembered(self._word)
+        self.parts = Remembered(self._part)
+
+    def _part(self, part: str) -> bytes:
+        if not part:
+            return b""
+        known = part if part.isascii() else "".join(self.LETTERS[b] for b in part.encode())
+        return _raw([t.id for t in self.model.tokenize(known)])
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        plain = self.PLAIN.match(word)
         if plain:
-            got = self._part(plain[1]) + self._part(plain[2])
-        else:
-            got = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(self.words) + len(self.parts) > REMEMBERED:
-            self.words, self.parts = {}, {"": ()}
-        self.words[word] = got
-        return got
+            letters, marks = plain.groups()
+            return self.parts[letters.lower()] + self.parts[marks]
+        return _raw(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-    def __call__(self, text: str) -> np.ndarray:
-        out: list[int] = []
-        extend = out.extend
-        for word in text.split():
-            ids = self.words.get(word)
-            extend(self._word(word) if ids is None else ids)
-        return np.array(out, dtype="<u4")
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        return b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -99,10 +121,10 @@ def tokenise(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         for batch in batches:
             rows = []
             for key, value in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encode(value or ""), np.array([END], dtype="<u4"))
-                for start in range(0, len(ids), window):
-                    raw = ids[start : start + window].tobytes()
-                    rows.append((key, start, len(raw) // 4, zlib.crc32(raw), len(ids), raw if keep_ids else None))
+                ids = encode(value or "") + END.to_bytes(4, "little")
+                for start in range(0, len(ids), 4 * window):
+                    raw = ids[start : start + 4 * window]
+                    rows.append((key, start // 4, len(raw) // 4, zlib.crc32(raw), len(ids) // 4, raw if keep_ids else None))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
