@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import exact_dedup, mixing, packing, quality_rules, secrets
+from gaugeworks.llm import exact_dedup, mixing, packing, prob_minhash, quality_rules, secrets
 from gaugeworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
