@@ -10,9 +10,19 @@ latest register, which ends nearly all of them after one.
 Registers are cut into bands. Texts that agree in a band are candidates, and candidates are
 verified by exact J_P. Texts with equal words are one text from the start, so copies cost
 nothing. In a bucket every text is first verified against the smallest id, the leader: a
-group of any size is linked by as many pairs as it has members. What a bucket still holds
-in different classes is then verified pair by pair, except where the triangle inequality of
-1 - J_P rules a link out; so no link between texts of a bucket is lost.
+group of any size is linked by as many pairs as it has members. Where a leader's texts are
+still in several classes, the one nearest to it outside its own class leads them once more,
+and again (ROUNDS), which joins families whose first leader lay at their edge.
+
+Texts of a bucket that are still in different classes may be linked past their leader. Let
+R be what a text lacks of the leader's shingles, A what it has beside them. If b is not
+linked to the leader L, and a and b have no added shingle in common, then a and b share
+|L| - |R_a| - |R_b| + |R_a & R_b| shingles, and for a link they must lack more than
+|R_a| - t (|R_a| - |A_a|) in common, with t = s / (1 + s) for the similarity s. So only pairs with a
+common added shingle, or with nearly all of R_a lacking in b too, can be linked: they are
+found by joining on shingles, and verified. The argument holds for equal weights; pairs with
+a text that repeats a shingle are verified unless the triangle inequality of 1 - J_P rules a
+link out. So no link between texts of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +46,8 @@ BAND_ROWS = 6
 # Words sketched at once in a task; one longer text is sketched alone.
 CHUNK_WORDS = 300_000
 EPSILON = 1e-9
+# Elections of further leaders before the remaining pairs are looked for one by one.
+ROUNDS = 3
 
 SKETCH = "doc_id long, same string, bands array<long>, shingles binary, counts binary"
 
@@ -183,12 +195,88 @@ def _similarity(a: pd.Series, ac: pd.Series, b: pd.Series, bc: pd.Series) -> pd.
     return pd.Series([probability_jaccard(*row) for row in zip(a, ac, b, bc, strict=True)], dtype="float64")
 
 
-def verify(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, similarity) of every pair."""
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _lacking(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Shingles of ``a`` that ``b`` has not, in rising order."""
+    sets = ((np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")) for x, y in zip(a, b, strict=True))
+    return pd.Series([np.setdiff1d(x, y).astype(np.int64) for x, y in sets], dtype=object)
+
+
+def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     left = sketches.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sketches.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    both = pairs.join(right, "b").join(left, "a")
-    return both.select("a", "b", _similarity("sa", "ca", "sb", "cb").alias("similarity"))
+    return pairs.join(right, "b").join(left, "a").withColumn("similarity", _similarity("sa", "ca", "sb", "cb"))
+
+
+def verify(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, similarity) of every pair."""
+    return _with_sketches(pairs, sketches).select("a", "b", "similarity")
+
+
+def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one leader and different labels that may be linked.
+
+    ``members``: lead, doc_id, label, similarity (to the leader), size, weighted, added, removed.
+    """
+    linked = F.col("similarity") >= similarity - EPSILON
+    share = similarity / (1 + similarity)
+    told = members.select(
+        "*",
+        linked.alias("linked"),
+        F.size("added").alias("plus"),
+        F.size("removed").alias("minus"),
+        # removed shingles of a that b must meet in one, if it lacks as many of them as it must
+        F.greatest(F.lit(0), F.ceil((F.size("removed") - F.size("added")) * share)).cast("int").alias("some"),
+    )
+    facts = ("label", "linked", "similarity", "weighted", "size", "plus", "minus", "some")
+
+    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
+        named = [F.col(c).alias(f"{c}_{name}") for c in facts]
+        return df.select("lead", *more, F.col("doc_id").alias(name), *named)
+
+    apart = (F.col("a") != F.col("b")) & (F.col("label_a") != F.col("label_b"))
+    near = F.abs(F.col("similarity_a") - F.col("similarity_b")) <= 1 - similarity + EPSILON
+    # What a and b must lack or have added in common, for a link.
+    leader = F.col("size_a") - F.col("plus_a") + F.col("minus_a")
+    need = share * (F.col("size_a") + F.col("size_b")) - leader + F.col("minus_a") + F.col("minus_b") - EPSILON
+    lacked, had = F.least("minus_a", "minus_b"), F.least("plus_a", "plus_b")
+    far = told.filter(~linked)
+
+    # Prefix filter: with added shingles first, rare ones foremost, a link has a common shingle among
+    # the first (1 - s) |a| + 1 of both. A shingle that one text alone has added uses up its place only.
+    adding = told.repartition("doc_id").select("lead", "doc_id", F.explode("added").alias("shingle"))
+    seen = adding.groupBy("lead", "shingle").agg(F.count("*").alias("texts")).filter("texts > 1")
+    one = Window.partitionBy("lead", "doc_id")
+    ranked = adding.join(seen, ["lead", "shingle"]).select(
+        "lead",
+        "doc_id",
+        "shingle",
+        F.row_number().over(one.orderBy("texts", "shingle")).alias("rank"),
+        F.count("*").over(one).alias("shared"),
+    )
+    length = F.floor(F.col("size") * (1 - similarity) + EPSILON) + 1
+    prefixes = ranked.join(told, ["lead", "doc_id"]).filter(F.col("rank") + F.col("plus") - F.col("shared") <= length)
+    prefixes = materialize(prefixes.drop("added", "removed"))
+    common = (
+        side(prefixes, "a", "shingle")
+        .join(side(prefixes.filter(~linked), "b", "shingle"), ["lead", "shingle"])
+        .filter(apart & (need <= lacked + had))
+        .select("a", "b")
+    )
+    shrunk = told.filter("some > 0")
+    some = side(shrunk.withColumn("shingle", F.explode(F.slice("removed", F.lit(1), F.col("some")))), "a", "shingle", "removed")
+    lost = far.join(shrunk.select("lead").distinct(), "lead", "left_semi").withColumn("shingle", F.explode("removed"))
+    lost = side(lost, "b", "shingle", "removed").withColumnRenamed("removed", "removed_b")
+    enough = F.size(F.array_intersect("removed", "removed_b")) >= need
+    lacking = some.join(lost, ["lead", "shingle"]).filter(apart & (need <= lacked) & enough).select("a", "b")
+
+    heavy = [
+        side(a, "a").join(side(b, "b"), "lead").filter(apart & near).select("a", "b")
+        for a, b in ((told.filter("weighted"), far), (told, far.filter("weighted")))
+    ]
+    lacking = lacking.unionByName(heavy[0]).unionByName(heavy[1])
+    every = common.unionByName(lacking)
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -204,55 +292,46 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     entries = distinct.select("doc_id", F.explode("bands").alias("key"))
     leaders = entries.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"))
     led = entries.join(leaders.filter("lead < last").drop("last"), "key")
-    led = materialize(led)
-    representatives = sketches.join(distinct.select("doc_id", "same"), ["doc_id", "same"], "left_semi")
-
     pairs = led.filter("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = materialize(verify(pairs, representatives))
+    pairs = materialize(pairs)
+    # Only texts that share a bucket move with their shingles, and only once.
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    names = distinct.select("doc_id", "same").join(involved, "doc_id", "left_semi")
+    representatives = materialize(sketches.drop("bands").join(names, ["doc_id", "same"], "left_semi"))
+    told = _with_sketches(pairs, representatives).select(
+        "a",
+        "b",
+        "similarity",
+        F.floor(F.length("sb") / 4).alias("size"),
+        (F.col("ca").isNotNull() | F.col("cb").isNotNull()).alias("weighted"),
+        _lacking("sb", "sa").alias("added"),
+        _lacking("sa", "sb").alias("removed"),
+    )
+    first = materialize(told)
     enough = F.col("similarity") >= similarity - EPSILON
-    links = first.filter(enough).select("a", "b")
-    label = components(links)
+    label = components(first.filter(enough).select("a", "b"))
+
+    for _ in range(ROUNDS):
+        members = _split_groups(first, label)
+        if members.isEmpty():
+            break
+        outside = members.filter("label <> lead_label")
+        chosen = outside.groupBy("lead").agg(F.max(F.struct("similarity", "doc_id", "label")).alias("next"))
+        further = (
+            members.join(chosen, "lead")
+            .filter("doc_id <> next.doc_id and label <> next.label")
+            .select(F.least("next.doc_id", "doc_id").alias("a"), F.greatest("next.doc_id", "doc_id").alias("b"))
+            .distinct()
+        )
+        label = _merged(label, verify(further, representatives).filter(enough))
 
-    # Buckets that still hold several classes: their members, with the distance to the leader.
-    own = led.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "label", F.coalesce("label", "doc_id")
-    )
-    split = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    known = first.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), "similarity")
-    open_members = (
-        own.join(split.select("key"), "key", "left_semi")
-        .filter("doc_id <> lead")
-        .join(known, ["lead", "doc_id"])
-        .select("key", "doc_id", "label", "similarity")
-    )
-    open_members = materialize(open_members)
-    other = open_members.select(
-        "key", F.col("doc_id").alias("b"), F.col("label").alias("label_b"), F.col("similarity").alias("similarity_b")
-    )
-    possible = F.abs(F.col("similarity") - F.col("similarity_b")) <= 1 - similarity + EPSILON
-    rest = (
-        open_members.join(other, "key")
-        .filter((F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("label_b")) & possible)
-        .select(F.col("doc_id").alias("a"), "b")
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    second = verify(rest, representatives).filter(enough)
-    merged = label.select(F.col("node"), F.col("label"))
-    end = lambda side: merged.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}"))
-    contracted = (
-        second.join(end("a"), "a", "left")
-        .join(end("b"), "b", "left")
-        .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    )
-    again = components(materialize(contracted))
+    rest = _open_pairs(_split_groups(first, label), similarity).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    label = _merged(label, verify(rest, representatives).filter(enough))
 
     through = (
         distinct.select(F.col("doc_id").alias("node"), "same")
-        .join(merged, "node", "left")
-        .select("same", F.coalesce("label", "node").alias("node"))
-        .join(again.withColumnRenamed("label", "top"), "node", "left")
-        .select("same", F.coalesce("top", "node").alias("class_id"))
+        .join(label, "node", "left")
+        .select("same", F.coalesce("label", "node").alias("class_id"))
     )
     placed = sketches.select("doc_id", "same").join(through, "same", "left")
     placed = placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -262,6 +341,33 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     return placed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", kept)
 
 
+def _split_groups(first: DataFrame, label: DataFrame) -> DataFrame:
+    """The verified pairs (lead, doc_id, ...) of leaders whose texts are in several classes, with both labels."""
+    named = first.withColumnRenamed("a", "lead").withColumnRenamed("b", "doc_id")
+    own = named.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    own = own.withColumn("label", F.coalesce("label", "doc_id"))
+    lead = label.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
+    own = own.join(lead, "lead", "left").withColumn("lead_label", F.coalesce("lead_label", "lead"))
+    split = own.groupBy("lead").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return materialize(own.join(split.filter("n > 1 and low < high").select("lead"), "lead", "left_semi"))
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links (a, b) between nodes of any class or none."""
+    end = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}"))
+    contracted = (
+        links.join(end("a"), "a", "left")
+        .join(end("b"), "b", "left")
+        .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        .filter("a <> b")
+        .distinct()
+    )
+    top = materialize(components(materialize(contracted)))
+    moved = label.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+    fresh = top.join(label.select("node"), "node", "left_anti")
+    return materialize(moved.select("node", F.coalesce("top", "label").alias("label")).unionByName(fresh))
+
+
 def _one_class_per_id(placed: DataFrame) -> DataFrame:
     """Merges the classes of an id that came with several texts; without such ids, as it was."""
     placed = materialize(placed)
