@@ -8,7 +8,7 @@ where all weights are equal. A shingle stops as soon as its next arrival comes a
 latest register, which ends nearly all of them after one.
 
 Registers are cut into bands. Texts that agree in a band are candidates, and candidates are
-verified by exact J_P. Texts with equal words are one text from the start, so copies cost
+verified by the exact Jaccard similarity of their shingles, to which the threshold refers. Texts with equal words are one text from the start, so copies cost
 nothing. In a bucket every text is first verified against the smallest id, the leader: a
 group of any size is linked by as many pairs as it has members. Where a leader's texts are
 still in several classes, the one nearest to it outside its own class leads them once more,
@@ -20,9 +20,7 @@ linked to the leader L, and a and b have no added shingle in common, then a and
 |L| - |R_a| - |R_b| + |R_a & R_b| shingles, and for a link they must lack more than
 |R_a| - t (|R_a| - |A_a|) in common, with t = s / (1 + s) for the similarity s. So only pairs with a
 common added shingle, or with nearly all of R_a lacking in b too, can be linked: they are
-found by joining on shingles, and verified. The argument holds for equal weights; pairs with
-a text that repeats a shingle are verified unless the triangle inequality of 1 - J_P rules a
-link out. So no link between texts of a bucket is lost.
+found by joining on shingles, and verified. So no link between texts of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -49,7 +47,7 @@ EPSILON = 1e-9
 # Elections of further leaders before the remaining pairs are looked for one by one.
 ROUNDS = 3
 
-SKETCH = "doc_id long, same string, bands array<long>, shingles binary, counts binary"
+SKETCH = "doc_id long, same string, bands array<long>, shingles binary"
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -129,24 +127,15 @@ def _sketch_chunk(ids: list, texts: list[list[bytes]], bands: int, rows: int) ->
     out = []
     for i, (key, words) in enumerate(zip(ids, texts, strict=True)):
         part = slice(bounds[i], bounds[i + 1])
-        counts = count[part]
-        plain = not len(counts) or counts.max() == 1
-        out.append(
-            (
-                key,
-                xxhash.xxh3_128_hexdigest(b" ".join(words)),
-                keys[i] if words else None,
-                short[part].tobytes(),
-                None if plain else counts.astype("<u4").tobytes(),
-            )
-        )
-    return pd.DataFrame(out, columns=["doc_id", "same", "bands", "shingles", "counts"])
+        same = xxhash.xxh3_128_hexdigest(b" ".join(words))
+        out.append((key, same, keys[i] if words else None, short[part].tobytes()))
+    return pd.DataFrame(out, columns=["doc_id", "same", "bands", "shingles"])
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """One row per row with an id: doc_id, same (hash of all words), bands (NULL without words), shingles, counts.
+    """One row per row with an id: doc_id, same (hash of all words), bands (NULL without words), shingles.
 
-    Shingles are 32-bit hashes in rising order; counts are NULL where all are 1.
+    Shingles are 32-bit hashes in rising order.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,32 +156,16 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: i
     return plain.mapInPandas(run, SKETCH)
 
 
-def probability_jaccard(a: bytes, ac: bytes | None, b: bytes, bc: bytes | None) -> float:
-    """Exact J_P of two sketches' shingles."""
-    x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
-    if not len(x) or not len(y):
-        return 0.0
-    if ac is None and bc is None:
-        both = len(np.intersect1d(x, y))
-        return both / (len(x) + len(y) - both)
-    p = np.ones(len(x)) if ac is None else np.frombuffer(ac, dtype="<u4").astype(float)
-    q = np.ones(len(y)) if bc is None else np.frombuffer(bc, dtype="<u4").astype(float)
-    union, at = np.unique(np.r_[x, y], return_inverse=True)
-    p = np.bincount(at[: len(x)], weights=p / p.sum(), minlength=len(union))
-    q = np.bincount(at[len(x) :], weights=q / q.sum(), minlength=len(union))
-    with np.errstate(divide="ignore"):
-        ratio = np.where(p > 0, q / np.where(p > 0, p, 1), np.inf)
-    order = np.argsort(ratio, kind="stable")
-    p, q, ratio = p[order], q[order], ratio[order]
-    last = np.searchsorted(ratio, ratio * (1 + 1e-12), side="right") - 1
-    below, above = np.cumsum(p)[last], q.sum() - np.cumsum(q)[last]
-    shared = (p > 0) & (q > 0)
-    return float((1 / (above[shared] / q[shared] + below[shared] / p[shared])).sum())
+def jaccard(a: bytes, b: bytes) -> float:
+    """Exact Jaccard similarity of two sketches' shingles; 0 where one has none."""
+    x, y = np.unique(np.frombuffer(a, dtype="<u4")), np.unique(np.frombuffer(b, dtype="<u4"))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
 
 
 @F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, ac: pd.Series, b: pd.Series, bc: pd.Series) -> pd.Series:
-    return pd.Series([probability_jaccard(*row) for row in zip(a, ac, b, bc, strict=True)], dtype="float64")
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -203,9 +176,9 @@ def _lacking(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    left = sketches.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-    right = sketches.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    return pairs.join(right, "b").join(left, "a").withColumn("similarity", _similarity("sa", "ca", "sb", "cb"))
+    left = sketches.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(right, "b").join(left, "a").withColumn("similarity", _similarity("sa", "sb"))
 
 
 def verify(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -216,7 +189,7 @@ def verify(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of one leader and different labels that may be linked.
 
-    ``members``: lead, doc_id, label, similarity (to the leader), size, weighted, added, removed.
+    ``members``: lead, doc_id, label, similarity (to the leader), size, added, removed.
     """
     linked = F.col("similarity") >= similarity - EPSILON
     share = similarity / (1 + similarity)
@@ -228,14 +201,13 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
         # removed shingles of a that b must meet in one, if it lacks as many of them as it must
         F.greatest(F.lit(0), F.ceil((F.size("removed") - F.size("added")) * share)).cast("int").alias("some"),
     )
-    facts = ("label", "linked", "similarity", "weighted", "size", "plus", "minus", "some")
+    facts = ("label", "linked", "size", "plus", "minus")
 
     def side(df: DataFrame, name: str, *more: str) -> DataFrame:
         named = [F.col(c).alias(f"{c}_{name}") for c in facts]
         return df.select("lead", *more, F.col("doc_id").alias(name), *named)
 
     apart = (F.col("a") != F.col("b")) & (F.col("label_a") != F.col("label_b"))
-    near = F.abs(F.col("similarity_a") - F.col("similarity_b")) <= 1 - similarity + EPSILON
     # What a and b must lack or have added in common, for a link.
     leader = F.col("size_a") - F.col("plus_a") + F.col("minus_a")
     need = share * (F.col("size_a") + F.col("size_b")) - leader + F.col("minus_a") + F.col("minus_b") - EPSILON
@@ -256,11 +228,13 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
     )
     length = F.floor(F.col("size") * (1 - similarity) + EPSILON) + 1
     prefixes = ranked.join(told, ["lead", "doc_id"]).filter(F.col("rank") + F.col("plus") - F.col("shared") <= length)
-    prefixes = materialize(prefixes.drop("added", "removed"))
+    prefixes = materialize(prefixes.drop("removed"))
+    added_b = side(prefixes.filter(~linked), "b", "shingle", "added").withColumnRenamed("added", "added_b")
+    shared = F.size(F.array_intersect("added", "added_b")) >= need - lacked
     common = (
-        side(prefixes, "a", "shingle")
-        .join(side(prefixes.filter(~linked), "b", "shingle"), ["lead", "shingle"])
-        .filter(apart & (need <= lacked + had))
+        side(prefixes, "a", "shingle", "added")
+        .join(added_b, ["lead", "shingle"])
+        .filter(apart & (need <= lacked + had) & shared)
         .select("a", "b")
     )
     shrunk = told.filter("some > 0")
@@ -270,11 +244,6 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
     enough = F.size(F.array_intersect("removed", "removed_b")) >= need
     lacking = some.join(lost, ["lead", "shingle"]).filter(apart & (need <= lacked) & enough).select("a", "b")
 
-    heavy = [
-        side(a, "a").join(side(b, "b"), "lead").filter(apart & near).select("a", "b")
-        for a, b in ((told.filter("weighted"), far), (told, far.filter("weighted")))
-    ]
-    lacking = lacking.unionByName(heavy[0]).unionByName(heavy[1])
     every = common.unionByName(lacking)
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -303,7 +272,6 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
         "b",
         "similarity",
         F.floor(F.length("sb") / 4).alias("size"),
-        (F.col("ca").isNotNull() | F.col("cb").isNotNull()).alias("weighted"),
         _lacking("sb", "sa").alias("added"),
         _lacking("sa", "sb").alias("removed"),
     )
