@@ -196,12 +196,13 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
     told = members.select(
         "*",
         linked.alias("linked"),
+        F.lit(0).alias("left"),
         F.size("added").alias("plus"),
         F.size("removed").alias("minus"),
         # removed shingles of a that b must meet in one, if it lacks as many of them as it must
         F.greatest(F.lit(0), F.ceil((F.size("removed") - F.size("added")) * share)).cast("int").alias("some"),
     )
-    facts = ("label", "linked", "size", "plus", "minus")
+    facts = ("label", "linked", "size", "plus", "minus", "left")
 
     def side(df: DataFrame, name: str, *more: str) -> DataFrame:
         named = [F.col(c).alias(f"{c}_{name}") for c in facts]
@@ -211,11 +212,12 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
     # What a and b must lack or have added in common, for a link.
     leader = F.col("size_a") - F.col("plus_a") + F.col("minus_a")
     need = share * (F.col("size_a") + F.col("size_b")) - leader + F.col("minus_a") + F.col("minus_b") - EPSILON
-    lacked, had = F.least("minus_a", "minus_b"), F.least("plus_a", "plus_b")
+    lacked = F.least("minus_a", "minus_b")
     far = told.filter(~linked)
 
     # Prefix filter: with added shingles first, rare ones foremost, a link has a common shingle among
     # the first (1 - s) |a| + 1 of both. A shingle that one text alone has added uses up its place only.
+    # After the first common one, no more can be common than either text has left.
     adding = told.repartition("doc_id").select("lead", "doc_id", F.explode("added").alias("shingle"))
     seen = adding.groupBy("lead", "shingle").agg(F.count("*").alias("texts")).filter("texts > 1")
     one = Window.partitionBy("lead", "doc_id")
@@ -227,19 +229,19 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
         F.count("*").over(one).alias("shared"),
     )
     length = F.floor(F.col("size") * (1 - similarity) + EPSILON) + 1
-    prefixes = ranked.join(told, ["lead", "doc_id"]).filter(F.col("rank") + F.col("plus") - F.col("shared") <= length)
-    prefixes = materialize(prefixes.drop("removed"))
-    added_b = side(prefixes.filter(~linked), "b", "shingle", "added").withColumnRenamed("added", "added_b")
-    shared = F.size(F.array_intersect("added", "added_b")) >= need - lacked
+    scalars = told.drop("added", "removed", "left")
+    prefixes = ranked.join(scalars, ["lead", "doc_id"]).filter(F.col("rank") + F.col("plus") - F.col("shared") <= length)
+    prefixes = materialize(prefixes.withColumn("left", F.col("shared") - F.col("rank") + 1))
     common = (
-        side(prefixes, "a", "shingle", "added")
-        .join(added_b, ["lead", "shingle"])
-        .filter(apart & (need <= lacked + had) & shared)
+        side(prefixes, "a", "shingle")
+        .join(side(prefixes.filter(~linked), "b", "shingle"), ["lead", "shingle"])
+        .filter(apart & (need <= lacked + F.least("left_a", "left_b")))
         .select("a", "b")
     )
     shrunk = told.filter("some > 0")
     some = side(shrunk.withColumn("shingle", F.explode(F.slice("removed", F.lit(1), F.col("some")))), "a", "shingle", "removed")
-    lost = far.join(shrunk.select("lead").distinct(), "lead", "left_semi").withColumn("shingle", F.explode("removed"))
+    lost = far.join(shrunk.select("lead").distinct(), "lead", "left_semi").repartition("doc_id")
+    lost = lost.withColumn("shingle", F.explode("removed"))
     lost = side(lost, "b", "shingle", "removed").withColumnRenamed("removed", "removed_b")
     enough = F.size(F.array_intersect("removed", "removed_b")) >= need
     lacking = some.join(lost, ["lead", "shingle"]).filter(apart & (need <= lacked) & enough).select("a", "b")
@@ -280,7 +282,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     label = components(first.filter(enough).select("a", "b"))
 
     for _ in range(ROUNDS):
-        members = _split_groups(first, label)
+        members = _split_groups(first.drop("size", "added", "removed"), label)
         if members.isEmpty():
             break
         outside = members.filter("label <> lead_label")

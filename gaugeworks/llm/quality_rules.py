@@ -225,7 +225,7 @@ def fit(
     )
     # Texts that fail the base rule are out before the list is asked, so they teach it nothing.
     passing = taught.filter(~base_failed(F.col("m")))
-    rows = passing.select("label", "third", "m.*").toPandas().sort_values(["third", "label", *MEASURES])
+    rows = passing.select("label", "third", "m.*").toArrow().to_pandas().sort_values(["third", "label", *MEASURES])
     if rows.empty:
         return []
     return learn(features(rows), (rows["label"] == 0).to_numpy(), (rows["third"] == 0).to_numpy(), **options)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import exact_dedup, mixing, packing, prob_minhash, quality_rules, secrets, suffix_dedup
+from gaugeworks.llm import brown_lm, exact_dedup, language_gru, mixing, packing, prob_minhash, quality_rules, secrets, suffix_dedup, url_filter
 from gaugeworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+@_query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(pages))
+
+
 @_query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +52,12 @@ window same as (partition by norm)
 """
 
 
+@_query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_gru.identify(docs, language_gru.fit(docs))
+
+
 @_query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.plan_mix(table(spark, sf_dir, "documents")))
@@ -77,3 +89,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
         secrets.written(both).alias("spans"),
     )
+
+
+@_query
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(table(spark, sf_dir, "documents"))
