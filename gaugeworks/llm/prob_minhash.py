@@ -238,9 +238,11 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
         .filter(apart & (need <= lacked + F.least("left_a", "left_b")))
         .select("a", "b")
     )
-    shrunk = told.filter("some > 0")
+    # Without a common added shingle, all that b shares with a it shares with the leader.
+    inner = F.col("plus") <= F.col("size") * (1 - similarity) + EPSILON
+    shrunk = told.filter((F.col("some") > 0) & inner)
     some = side(shrunk.withColumn("shingle", F.explode(F.slice("removed", F.lit(1), F.col("some")))), "a", "shingle", "removed")
-    lost = far.join(shrunk.select("lead").distinct(), "lead", "left_semi").repartition("doc_id")
+    lost = far.filter(inner).join(shrunk.select("lead").distinct(), "lead", "left_semi").repartition("doc_id")
     lost = lost.withColumn("shingle", F.explode("removed"))
     lost = side(lost, "b", "shingle", "removed").withColumnRenamed("removed", "removed_b")
     enough = F.size(F.array_intersect("removed", "removed_b")) >= need
