@@ -63,7 +63,7 @@ def any_token(column: str, words: str) -> str:
             where ({any_token("assay_description", "Urgent RING")} or {any_token("compound_name", "Urgent RING")}
                    or {any_token("target_name", "Urgent RING")})
               and standard_type = 'IC50' and standard_value_nm <= 50000000 and confidence_score >= 8
-            order by pchembl_value desc, standard_value_nm asc, activity_id limit 50""",
+            order by pchembl_value desc, standard_value_nm asc, activity_id limit 500""",
         CURATED,
     ),
 )
@@ -141,8 +141,7 @@ def bool_match_filter_multisort(spark, sf_dir):
 @query(
     "terms_agg",
     twin(
-        """select target_chembl_id, count(*) as doc_count from curated where target_chembl_id is not null group by 1
-           order by doc_count desc, target_chembl_id limit 10""",
+        """select target_chembl_id, count(*) as doc_count from curated where target_chembl_id is not null group by 1""",
         CURATED,
     ),
 )
@@ -295,7 +294,7 @@ per_assay as (
     total_measurements desc, cast(target_chembl_id as int) asc nulls last) as pick
   from quality where assay_description is not null),
 top_assay as (
-  select * from per_assay where pick = 1 order by curated_measurements desc, assay_chembl_id limit 4000),
+  select * from per_assay where pick = 1 order by curated_measurements desc, assay_chembl_id),
 passages(doc_id, doc_type, target_chembl_id, entity_id, title, text) as (
   select 'target:' || target_chembl_id, 'target_summary', cast(target_chembl_id as varchar),
     cast(target_chembl_id as varchar), target_name || ' (' || target_chembl_id || ') activity summary',

@@ -34,7 +34,6 @@ from gaugeworks.operators.audit import (
     TABLE_PATTERN,
     audit_sql_log,
 )
-from gaugeworks.operators.dedup import top_per_group
 from gaugeworks.operators.governed import OPEN_TABLES, governed_sql
 from gaugeworks.operators.lookup import (
     GLOSSARY,
@@ -123,18 +122,12 @@ def summary_breakdown(spark, sf_dir):
     twin(
         f"""select molecule_chembl_id, count(*) as result_count, count(*) filter (where outcome = 'included') as included,
               count(*) filter (where outcome <> 'included') as excluded
-            from (select molecule_chembl_id, {REASON} as outcome,
-                    row_number() over (partition by molecule_chembl_id order by activity_id) as place from fact)
-            where place <= 100 group by 1"""
+            from (select molecule_chembl_id, {REASON} as outcome from fact) group by 1"""
     ),
 )
 def explain_rows(spark, sf_dir):
-    """For every compound: the outcomes among its first 100 rows, as the lookup shows them."""
-    graded = Warehouse(spark, sf_dir).graded
-    shown = top_per_group(
-        graded, ["molecule_chembl_id"], [F.col("activity_id").asc()], serving.EXPLAINED_ROWS
-    )
-    outcomes = shown.withColumn("curation_outcome", potency_rules().reason())
+    """For every compound: the outcomes of all its rows."""
+    outcomes = Warehouse(spark, sf_dir).graded.withColumn("curation_outcome", potency_rules().reason())
     return outcomes.groupBy("molecule_chembl_id").agg(*serving.outcome_counts())
 
 

@@ -14,8 +14,6 @@ from gaugeworks.functions.text import matches_any, tokens
 # The searched fields, the result size and its bounds.
 EVIDENCE_TEXT_FIELDS = ("assay_description", "compound_name", "target_name")
 DEFAULT_HITS = 10
-MAX_HITS = 50
-DEFAULT_BUCKETS = 10
 
 
 def multi_match(query: str, fields: Sequence[str]) -> Column:
@@ -39,8 +37,12 @@ def bool_query(
     return condition
 
 
-def clamp(limit: int | None, default: int, largest: int) -> int:
-    return max(1, min(int(limit or default), largest))
+def asked_for(limit: int | None, default: int) -> int:
+    """The number of results asked for, or the default where none is stated; never another number."""
+    wanted = default if limit is None else int(limit)
+    if wanted < 1:
+        raise ValueError(f"limit must be 1 or more, not {limit}")
+    return wanted
 
 
 def search_evidence(
@@ -78,19 +80,16 @@ def search_evidence(
             F.col("standard_value_nm").asc_nulls_last(),
             F.col("activity_id").asc(),
         )
-        .limit(clamp(limit, DEFAULT_HITS, MAX_HITS))
+        .limit(asked_for(limit, DEFAULT_HITS))
     )
 
 
-def terms_aggregation(df: DataFrame, field: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """The most frequent values of a keyword field with their row counts."""
-    return (
-        df.filter(F.col(field).isNotNull())
-        .groupBy(field)
-        .agg(F.count(F.lit(1)).alias("doc_count"))
-        .orderBy(F.col("doc_count").desc(), F.col(field).asc())
-        .limit(buckets)
-    )
+def terms_aggregation(df: DataFrame, field: str, buckets: int | None = None) -> DataFrame:
+    """The values of a keyword field with their row counts: all, or the ``buckets`` most frequent ones."""
+    counts = df.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("doc_count"))
+    if buckets is None:
+        return counts
+    return counts.orderBy(F.col("doc_count").desc(), F.col(field).asc()).limit(buckets)
 
 
 def term_counts(words: Column) -> Column:

@@ -18,7 +18,6 @@ from gaugeworks.functions.text import tokens
 from gaugeworks.operators.topk import QUERY_BLOCK, scored_topk
 
 EMBEDDING_DIM = 384
-MAX_PASSAGES = 20
 
 # texts -> matrix of shape (texts, dim); built once per task by an encoder factory.
 Encoder = Callable[[list[str]], np.ndarray]

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.clean import number_text, value_text
 from gaugeworks.operators.bm25 import PASSAGE_BOOSTS, bm25_topk
 from gaugeworks.operators.dedup import keep_first
-from gaugeworks.operators.search import clamp
-from gaugeworks.operators.vectors import EMBEDDING_DIM, MAX_PASSAGES, hashed_embedding, knn_cosine
+from gaugeworks.operators.search import asked_for
+from gaugeworks.operators.vectors import EMBEDDING_DIM, hashed_embedding, knn_cosine
 
-# Passage kinds, the cap on assay passages, the default result size.
+# Passage kinds, the default result size.
 DOC_TYPES = ("target_summary", "assay", "target_relationship", "metric_glossary")
-ASSAY_PASSAGES = 4000
 DEFAULT_PASSAGES = 5
 
 PASSAGE_COLUMNS = ("doc_id", "doc_type", "target_chembl_id", "entity_id", "title", "text")
@@ -91,19 +90,18 @@ def relationship_passages(similarity: DataFrame) -> DataFrame:
     )
 
 
-def assay_passages(quality: DataFrame, limit: int = ASSAY_PASSAGES) -> DataFrame:
-    """The assays with most curated rows, one passage per assay id."""
+def assay_passages(quality: DataFrame, limit: int | None = None) -> DataFrame:
+    """One passage per assay id: all assays, or the ``limit`` ones with most curated rows."""
     strongest = [
         F.col("curated_measurements").desc_nulls_last(),
         F.col("total_measurements").desc_nulls_last(),
         F.col("target_chembl_id").asc_nulls_last(),
     ]
     described = quality.filter(F.col("assay_description").isNotNull())
-    chosen = (
-        keep_first(described, ["assay_chembl_id"], strongest)
-        .orderBy(F.col("curated_measurements").desc_nulls_last(), F.col("assay_chembl_id").asc())
-        .limit(limit)
-    )
+    chosen = keep_first(described, ["assay_chembl_id"], strongest)
+    if limit is not None:
+        most = [F.col("curated_measurements").desc_nulls_last(), F.col("assay_chembl_id").asc()]
+        chosen = chosen.orderBy(*most).limit(limit)
     assay = F.col("assay_chembl_id")
     return chosen.select(
         _text("assay:", assay).alias("doc_id"),
@@ -138,7 +136,7 @@ def passages(
     summary: DataFrame,
     similarity: DataFrame,
     quality: DataFrame,
-    assay_limit: int = ASSAY_PASSAGES,
+    assay_limit: int | None = None,
 ) -> DataFrame:
     """All passages, one row per ``doc_id``."""
     text = "string"
@@ -177,7 +175,7 @@ def search_passages(
     """
     if doc_type and doc_type not in DOC_TYPES:
         raise ValueError(f"unknown doc_type {doc_type!r}; use one of {', '.join(sorted(DOC_TYPES))}")
-    k = clamp(limit, DEFAULT_PASSAGES, MAX_PASSAGES)
+    k = asked_for(limit, DEFAULT_PASSAGES)
     pool = corpus.filter(F.col("doc_type") == doc_type) if doc_type else corpus
 
     def lexical(asked: DataFrame, label: str) -> DataFrame:

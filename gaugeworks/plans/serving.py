@@ -170,12 +170,12 @@ def explain_rows(
     column: str,
     value,
     rules: RuleSet | None = None,
-    limit: int = EXPLAINED_ROWS,
+    limit: int | None = EXPLAINED_ROWS,
     unknown_passes: Sequence[str] = (),
 ) -> DataFrame:
-    """Fact rows of one id, compound or assay with their outcome, in id order."""
+    """Fact rows of one id, compound or assay with their outcome: the first ``limit`` in id order, or all."""
     outcome = (rules or potency_rules()).reason(unknown_passes)
-    return (
+    rows = (
         facts.filter(F.col(column) == value)
         .select(
             "activity_id",
@@ -190,9 +190,8 @@ def explain_rows(
             "data_validity_comment",
             outcome.alias("curation_outcome"),
         )
-        .orderBy("activity_id")
-        .limit(limit)
     )
+    return rows if limit is None else rows.orderBy("activity_id").limit(limit)
 
 
 def outcome_counts() -> list[Column]:
@@ -204,7 +203,7 @@ def outcome_counts() -> list[Column]:
 
 
 def explained_totals(rows: DataFrame) -> DataFrame:
-    """Included and excluded among the rows shown (not among all rows)."""
+    """Included and excluded among the rows given; ``explain_rows(limit=None)`` gives all."""
     return rows.agg(*outcome_counts())
 
 

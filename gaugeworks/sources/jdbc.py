@@ -66,6 +66,11 @@ def read_subquery(
     return spark.read.format("jdbc").options(**jdbc_options(config, subquery, split, fetch_size)).load()
 
 
+def column_types(schema: T.StructType) -> str:
+    """``createTableColumnTypes`` of a contract; string columns are left to the store's own dialect."""
+    return contract_ddl(T.StructType([f for f in schema if not isinstance(f.dataType, T.StringType)]))
+
+
 def replace_table(
     df: DataFrame,
     config: JdbcConfig,
@@ -81,6 +86,6 @@ def replace_table(
     options: Mapping[str, str] = {"truncate": "true", "batchsize": str(batch_size)}
     if schema is not None:
         df = enforce_contract(df, schema, table)
-        options = {**options, "createTableColumnTypes": contract_ddl(schema).replace("string", "text")}
+        options = {**options, "createTableColumnTypes": column_types(schema)}
     writer = df.write.format("jdbc").mode("overwrite").options(**config.options(), **options)
     writer.option("dbtable", table).option("numPartitions", str(connections)).save()

@@ -41,12 +41,16 @@ RAW_RECORDS = {
 
 
 def read_pages(spark: SparkSession, path: str, entity: str) -> DataFrame:
-    """One row per record. Pages are whole files, so parallelism is one task per page."""
+    """One row per record. Pages are whole files, so parallelism is one task per page.
+
+    A page that cannot be parsed, or that lacks its collection, fails the read.
+    """
     collection = COLLECTIONS[entity]
     record = T.StructType.fromDDL(RAW_RECORDS[entity])
     schema = T.StructType([T.StructField(collection, T.ArrayType(record))])
-    pages = spark.read.schema(schema).option("multiLine", True).json(path)
-    return pages.select(F.explode(collection).alias("r")).select("r.*")
+    pages = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    missing = F.raise_error(F.lit(f"a page has no collection {collection}")).cast(schema[collection].dataType)
+    return pages.select(F.explode(F.coalesce(collection, missing)).alias("r")).select("r.*")
 
 
 def filter_records(df: DataFrame, params: Mapping[str, str]) -> DataFrame:

@@ -70,6 +70,8 @@ def publish(
 
     The store is a JDBC schema, a parquet root, a database of this catalog, or several of them.
     """
+    if jdbc is None and path is None and not catalog:
+        raise ValueError("publish needs a JDBC store, a path or a catalog database")
     if catalog:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
     names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
