@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeworks.llm.common import batches_of
 from gaugeworks.llm.components import components
 from gaugeworks.session import materialize
 
@@ -42,7 +43,9 @@ SIMILARITY = 0.8
 BANDS = 24
 BAND_ROWS = 6
 # Words sketched at once in a task; one longer text is sketched alone.
-CHUNK_WORDS = 300_000
+CHUNK_WORDS = 100_000
+# Texts, or pairs with their shingles, that come to a task at once.
+BATCH_ROWS = 1_000
 EPSILON = 1e-9
 # Elections of further leaders before the remaining pairs are looked for one by one.
 ROUNDS = 3
@@ -258,6 +261,11 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     Texts without words, NULL or empty, stand alone. Rows without an id are not compared and
     not returned. Rows that repeat an id are in one class with all their texts.
     """
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _near_classes(docs, doc_id, text, similarity)
+
+
+def _near_classes(docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
     sketches = materialize(sketch(docs, doc_id, text))
     distinct = materialize(
         sketches.filter("bands is not null").groupBy("same", "bands").agg(F.min("doc_id").alias("doc_id"))
