@@ -227,22 +227,22 @@ def governed_sql_entry(spark, sf_dir):
 
 # One statement per kind; {n} is a number from the row.
 STATEMENTS = (
-    "SELECT * FROM mart_compound_target_potency",
-    "select target_name from marts.mart_target_activity_summary limit {n}",
-    "WITH t AS (SELECT * FROM mart_compound_profile) SELECT * FROM t LIMIT 100000",
-    "SELECT a.x FROM mart_assay_quality a JOIN dim_target d ON a.k = d.k WHERE a.v > {n};",
-    "SELECT {n} AS x FROM dim_target -- DROP TABLE dim_target",
-    "DROP TABLE marts.dim_target",
-    "SELECT {n}; DROP TABLE marts.dim_target",
-    "SELECT * FROM marts.fact_bioactivity_result",
-    "SELECT * FROM raw.raw_activity WHERE id = {n}",
-    "SELECT pg_read_file('/etc/hosts')",
-    "SELECT * FROM information_schema.tables",
-    "INSERT INTO dim_target VALUES ({n})",
-    "/* {n} */ select count(*) from graph_target_similarity /* update */",
+    "select compound_name, best_pchembl from mart_compound_profile",
+    "select organism from marts.mart_target_activity_summary limit {n}",
+    "with few as (select journal from dim_document) select * from few limit 5000",
+    "select q.assay_type from mart_assay_quality q join dim_assay s on q.assay_chembl_id = s.assay_chembl_id where q.flagged_validity > {n};",
+    "select {n} as seen from dim_compound -- delete from dim_compound",
+    "truncate table dim_document",
+    "select {n}; select {n} + 1",
+    "select units_note from marts.fact_bioactivity_result",
+    "select count(*) from silver.stg_assay where confidence_score = {n}",
+    "select pg_ls_dir('.')",
+    "select relname from pg_catalog.pg_class",
+    "delete from dim_assay where confidence_score = {n}",
+    "/* {n} */ select sum(shared_compounds) from graph_target_similarity /* alter */",
     "  ",
-    "SELECT * FROM dim_assay WHERE comment = 'x{n}'",
-    "select (select max(a) from dim_document limit 7) from \"marts\".\"dim_document\" limit 900",
+    "select year from dim_document where journal = 'update {n}'",
+    "select (select min(year) from dim_document limit 3) from \"marts\".\"dim_assay\" limit 700",
 )
 
 

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 
 INCLUDED = "included"
 
+# The potency curation contract.
+CURATED_TYPES = ("IC50", "Ki", "Kd", "EC50")
+MIN_CONFIDENCE = 7
+TYPE_REASON = "non_curated_standard_type"
+VALUE_REASON = "missing_or_unconvertible_nm_value"
+PCHEMBL_REASON = "missing_pchembl_value"
+CONFIDENCE_REASON = "low_confidence_score"
+VALIDITY_REASON = "data_validity_comment_present"
+RELATION_REASON = "ambiguous_standard_relation"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -21,7 +31,11 @@ class Rule:
 
 @dataclass(frozen=True)
 class RuleSet:
+    """Rules in order. Metrics and checks take the types and the confidence bound from here."""
+
     rules: tuple[Rule, ...]
+    types: tuple[str, ...] = CURATED_TYPES
+    min_confidence: int = MIN_CONFIDENCE
 
     def predicate(self) -> Column:
         """All rules met. A plain conjunction, so each part can reach the file scan."""
@@ -48,17 +62,6 @@ class RuleSet:
         return tuple(rule.reason for rule in self.rules)
 
 
-# The potency curation contract.
-CURATED_TYPES = ("IC50", "Ki", "Kd", "EC50")
-MIN_CONFIDENCE = 7
-TYPE_REASON = "non_curated_standard_type"
-VALUE_REASON = "missing_or_unconvertible_nm_value"
-PCHEMBL_REASON = "missing_pchembl_value"
-CONFIDENCE_REASON = "low_confidence_score"
-VALIDITY_REASON = "data_validity_comment_present"
-RELATION_REASON = "ambiguous_standard_relation"
-
-
 def potency_rules(
     types: Iterable[str] = CURATED_TYPES, min_confidence: int = MIN_CONFIDENCE
 ) -> RuleSet:
@@ -74,5 +77,7 @@ def potency_rules(
                 RELATION_REASON,
                 lambda: F.col("standard_relation").isNull() | (F.col("standard_relation") == "="),
             ),
-        )
+        ),
+        tuple(types),
+        min_confidence,
     )

@@ -40,6 +40,7 @@ READ_NODES = frozenset(
     LocalRelation UnresolvedInlineTable PipeOperator Sample
     """.split()
 )
+EQUALITIES = frozenset(("EqualTo", "EqualNullSafe"))
 REFUSED_FUNCTIONS = frozenset(("reflect", "java_method", "try_reflect", "input_file_name"))
 
 
@@ -143,11 +144,34 @@ def check_sql(spark: SparkSession, sql: str, policy: Policy = Policy()) -> tuple
         names.append(parts[-1])
 
     top = plan.child() if _kind(plan) == "UnresolvedWith" else plan
-    limit = policy.max_rows if _kind(top) == "GlobalLimit" else policy.default_rows
+    limit = policy.default_rows
+    if _kind(top) == "GlobalLimit":
+        written = top.limitExpr().toString()
+        limit = int(written) if written.isdigit() else policy.max_rows
     return tuple(dict.fromkeys(names)), min(limit, policy.max_rows)
 
 
+def _at_most_one_row(node) -> bool:
+    bound = node.maxRows()
+    return bound.isDefined() and bound.get() <= 1
+
+
+def _refuse_unlinked_joins(node) -> None:
+    """Raises for a join of an optimised plan that has no equality, unless one side is a single row."""
+    expressions = list(_expressions(node))
+    if _kind(node) == "Join" and not any(_kind(e) in EQUALITIES for e in expressions):
+        if not (_at_most_one_row(node.left()) or _at_most_one_row(node.right())):
+            raise GovernanceError("a join needs an equality between its sides")
+    for expression in expressions:
+        if "PlanExpression" in _class_names(expression):
+            _refuse_unlinked_joins(expression.plan())
+    for child in _items(node.children()):
+        _refuse_unlinked_joins(child)
+
+
 def governed_sql(spark: SparkSession, sql: str, policy: Policy = Policy()) -> GovernedQuery:
-    """Check and run: the result never has more rows than the policy allows."""
+    """Check and run: the result never has more rows than the policy allows, and no join is a cross join."""
     tables, limit = check_sql(spark, sql, policy)
-    return GovernedQuery(sql, tables, limit, spark.sql(sql).limit(limit))
+    rows = spark.sql(sql).limit(limit)
+    _refuse_unlinked_joins(rows._jdf.queryExecution().optimizedPlan())
+    return GovernedQuery(sql, tables, limit, rows)

@@ -80,10 +80,10 @@ def warehouse_suite(tables: Mapping[str, DataFrame], rules: RuleSet | None = Non
             row_checks += [
                 not_null("standard_value_nm"),
                 not_null("pchembl_value"),
-                accepted_values("standard_type", CURATED_TYPES),
-                accepted_range("confidence_score", MIN_CONFIDENCE, 9),
+                accepted_values("standard_type", rules.types),
+                accepted_range("confidence_score", rules.min_confidence, 9),
                 accepted_values("standard_relation", ["="], F.col("standard_relation").isNotNull()),
-                curated_contract(),
+                curated_contract(rules.types, rules.min_confidence),
             ]
             table_checks.append(no_repeats(df, REPLICATE_KEYS, "no_duplicate_measurements"))
         elif name == "mart_assay_quality":

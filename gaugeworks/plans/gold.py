@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.rules import MIN_CONFIDENCE, RuleSet, potency_rules
+from gaugeworks.functions.rules import RuleSet, potency_rules
 from gaugeworks.operators.dedup import keep_first
 from gaugeworks.operators.quality import (
     completeness_metrics,
@@ -26,7 +26,7 @@ REPLICATE_KEYS = ("molecule_chembl_id", "target_chembl_id", "assay_chembl_id", "
 
 @dataclass(frozen=True)
 class Curation:
-    """The inclusion contract and its low-confidence bound.
+    """The inclusion contract; its rule set also holds the low-confidence bound.
 
     Ids are counted distinct. ``unique_ids`` states that ``activity_id`` is known to be
     unique in the fact (the check suite tells); counting is then a plain count,
@@ -34,9 +34,12 @@ class Curation:
     """
 
     rules: RuleSet = field(default_factory=potency_rules)
-    min_confidence: int = MIN_CONFIDENCE
     unique_ids: bool = False
 
+    @property
+    def min_confidence(self) -> int:
+        return self.rules.min_confidence
+
     def id_count(self):
         return F.count("activity_id") if self.unique_ids else F.count_distinct("activity_id")
 
@@ -89,6 +92,7 @@ class Dimensions:
 
 # ------------------------------------------------------------------------ fact
 
+# Columns of the fact, in order.
 FACT_COLUMNS = (
     "activity_id",
     "compound_key",
@@ -131,6 +135,7 @@ def fact(activity: DataFrame, dims: Dimensions) -> DataFrame:
 
 # ---------------------------------------------------------------- curated mart
 
+# Columns of the curated mart, in order.
 CURATED_COLUMNS = (
     "activity_id",
     "molecule_chembl_id",
@@ -333,6 +338,7 @@ def assay_quality(
 
 
 # --------------------------------------------------------- data-quality summary
+# The names of the metrics below.
 
 
 def volume() -> list:

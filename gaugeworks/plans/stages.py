@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.plans import corpus, gold, relationships, serving, silver
 from gaugeworks.plans.contract_checks import warehouse_suite
+from gaugeworks.session import configure
 from gaugeworks.sources.jdbc import JdbcConfig
 from gaugeworks.sources.lake import create_layers, publish, write_snapshot
 
@@ -88,6 +89,19 @@ def build_index(spark: SparkSession, path: str, shards: Sequence[str] = ()) -> N
     corpus.embed_passages(passages).write.mode("overwrite").parquet(f"{path}/knowledge")
 
 
+class FailedChecks(RuntimeError):
+    """Checks of severity error found violations."""
+
+
+def checked(results: DataFrame, gate: bool = True) -> DataFrame:
+    """Evaluates the checks once, one row each; raises if one failed and ``gate`` is set."""
+    rows = results.collect()
+    failed = [f"{r['table_name']}.{r['check_name']}: {r['failures']}" for r in rows if r["status"] == "fail"]
+    if failed and gate:
+        raise FailedChecks("; ".join(failed))
+    return results.sparkSession.createDataFrame(rows, results.schema)
+
+
 def run_stages(
     spark: SparkSession,
     entities: Mapping[str, DataFrame],
@@ -96,14 +110,20 @@ def run_stages(
     serving_path: str | None = None,
     index_path: str | None = None,
     curation: gold.Curation | None = None,
+    gate: bool = True,
 ) -> dict[str, object]:
-    """Run the named stages one after the other; an unknown name is refused up front."""
+    """Run the named stages one after the other; an unknown name is refused up front.
+
+    A failed check raises ``FailedChecks`` and no later stage runs; ``gate=False`` only
+    returns the results. A check that only warns never stops a run.
+    """
+    configure(spark)
     unknown = [s for s in stages if s not in STAGES]
     if unknown:
         raise ValueError(f"unknown stages {unknown}; known are {list(STAGES)}")
     steps: dict[str, Callable[[], object]] = {
         "ingest_bronze": lambda: ingest_bronze(spark, entities),
-        "build_marts": lambda: build_marts(spark, curation),
+        "build_marts": lambda: checked(build_marts(spark, curation), gate),
         "build_graph": lambda: build_graph(spark),
         "publish_marts": lambda: publish(spark, "gold", serving_jdbc, serving_path),
         "build_index": lambda: build_index(spark, index_path) if index_path else None,

@@ -5,7 +5,9 @@ import json
 import pytest
 
 from gaugeworks import contracts
+from gaugeworks.functions.rules import potency_rules
 from gaugeworks.operators.governed import governed_sql
+from gaugeworks.plans.contract_checks import warehouse_suite
 from gaugeworks.plans import bronze, corpus, gold, relationships, serving, silver, stages
 from gaugeworks.sources import catalog, jdbc, json_pages, lake, seeds
 
@@ -97,7 +99,7 @@ def built(spark, tmp_path_factory):
     for name, df in entities.items():
         assert [f.name for f in contracts.ENTITIES[name]] == df.columns
         assert [f.dataType for f in contracts.ENTITIES[name]] == [f.dataType for f in df.schema]
-    results = stages.run_stages(spark, entities, serving_path=str(root / "serving"), index_path=str(root / "index"))
+    results = stages.run_stages(spark, entities, serving_path=str(root / "serving"), index_path=str(root / "index"), gate=False)
     return root, results
 
 
@@ -184,6 +186,23 @@ def test_checks_pass(built):
     assert failed == {("bronze_activity", "not_null_activity_id")}
 
 
+def test_failed_checks_stop_the_run(built):
+    _, results = built
+    with pytest.raises(stages.FailedChecks, match="bronze_activity.not_null_activity_id: 1"):
+        stages.checked(results["build_marts"])
+    assert stages.checked(results["build_marts"].filter("status <> 'fail'")).count() > 0
+
+
+def test_checks_follow_the_contract(spark):
+    schema = "standard_type string, standard_value_nm double, pchembl_value double, confidence_score int, standard_relation string"
+    keys = ", activity_id int, molecule_chembl_id string, target_chembl_id string, assay_chembl_id string"
+    mart = spark.createDataFrame([("Inhibition", 3.0, 8.5, 5, "=", 1, "M", "T", "A")], schema + keys)
+    status = lambda rules: {r["status"] for r in warehouse_suite({"mart_compound_target_potency": mart}, rules).collect()}
+    own = potency_rules(["Inhibition"], 5)
+    assert status(own) == {"pass"} and "fail" in status(None)
+    assert gold.Curation(rules=own).min_confidence == 5
+
+
 def test_graph(spark, built, rows):
     assert rows(table(spark, "graph_target_similarity"), "target_a", "target_b", "shared_compounds", "jaccard") == [
         ("T1", "T2", 2, 0.6667), ("T1", "T3", 1, 0.5), ("T2", "T3", 1, 0.3333),
