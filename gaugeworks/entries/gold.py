@@ -27,6 +27,7 @@ from gaugeworks.entries.twin import (
 from gaugeworks.entries.warehouse import Warehouse, load
 from gaugeworks.functions.keys import surrogate_key
 from gaugeworks.functions.rules import TYPE_REASON, potency_rules
+from gaugeworks.operators.quantiles import exact_quantiles
 from gaugeworks.operators.quality import exclusion_histogram, long_metrics, surplus_rows
 from gaugeworks.plans import gold, silver
 
@@ -320,3 +321,28 @@ def dq_excluded(spark, sf_dir):
 @query("dq_summary", twin("select * from dq", DQ, replicates=True))
 def dq_summary(spark, sf_dir):
     return Warehouse(spark, sf_dir, replicates=True).dq
+
+
+@query(
+    "quantiles_any_scale",
+    """select l_returnflag as flag,
+         round(quantile_cont(7 + l_extendedprice * 1e-10, 0.5), 12) as narrow,
+         round(quantile_cont(l_extendedprice * 1e-9, 0.5) * 1e9, 6) as tiny,
+         round(quantile_cont(l_discount, 0.5), 6) as few
+       from lineitem group by all""",
+)
+def quantiles_any_scale(spark, sf_dir):
+    """Exact medians of a narrow band, of very small values and of few distinct ones."""
+    line = load(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("flag"),
+        (F.lit(7) + F.col("l_extendedprice") * F.lit(1e-10)).alias("band"),
+        (F.col("l_extendedprice") * F.lit(1e-9)).alias("scaled"),
+        "l_discount",
+    )
+    medians = exact_quantiles(line, ["flag"], {"narrow": "band", "tiny": "scaled", "few": "l_discount"})
+    return medians.select(
+        "flag",
+        F.round("narrow", 12).alias("narrow"),
+        F.round(F.col("tiny") * F.lit(1e9), 6).alias("tiny"),
+        F.round("few", 6).alias("few"),
+    )

@@ -60,8 +60,8 @@ def cooccurrence(spark, sf_dir):
     ),
 )
 def cooccurrence_split(spark, sf_dir):
-    """The same pairs with every member of more than two groups on the salted route."""
-    return shared_members(_pairs(spark, sf_dir), light_degree=2, heavy_splits=4)
+    """The same pairs with every member of more than two groups on the blocked route."""
+    return shared_members(_pairs(spark, sf_dir), light_degree=2, heavy_block=2)
 
 
 @query("jaccard_similarity", twin("select * from similarity", CURATED, SIMILARITY, replicates=True))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A member in at most this many groups is described by one array of its groups;
-# members in more groups go through a salted join. Both routes are exact.
+# members in more groups go through a blocked join. Both routes are exact.
 LIGHT_DEGREE = 64
-HEAVY_SPLITS = 16
+# Groups of one member that a task pairs with as many others of it at a time.
+HEAVY_BLOCK = 1024
 
 
 def member_group_edges(df: DataFrame, keys: Sequence[str], best: str, smallest: str) -> DataFrame:
@@ -37,14 +38,15 @@ def group_sizes(pairs: DataFrame) -> DataFrame:
 
 
 def shared_members(
-    pairs: DataFrame, light_degree: int = LIGHT_DEGREE, heavy_splits: int = HEAVY_SPLITS
+    pairs: DataFrame, light_degree: int = LIGHT_DEGREE, heavy_block: int = HEAVY_BLOCK
 ) -> DataFrame:
     """(group_a, group_b, shared) for every two groups that share a member, a < b.
 
     Members that sit in exactly the same groups are merged first and carried as
     a count, so their pairs are formed once, not once per member. Pairs are
-    summed on the map side and only (a, b) partial counts are shuffled. Members
-    with many groups are spread over ``heavy_splits`` tasks each.
+    summed on the map side and only (a, b) partial counts are shuffled. The groups
+    of a member with many are cut into blocks of about ``heavy_block``, as many as its
+    degree asks for, and every pair of blocks is joined on its own.
     """
     degree = F.count(F.lit(1)).over(Window.partitionBy("member"))
     known = pairs.withColumn("degree", degree).filter("degree > 1")
@@ -65,23 +67,23 @@ def shared_members(
         )
     )
 
-    heavy = known.filter(F.col("degree") > light_degree)
+    blocks = F.ceil(F.col("degree") / heavy_block).cast("int")
+    heavy = (
+        known.filter(F.col("degree") > light_degree)
+        .withColumn("own", F.pmod(F.xxhash64("grp"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    )
     left = heavy.select(
-        "member",
-        F.col("grp").alias("group_a"),
-        F.pmod(F.xxhash64("grp"), F.lit(heavy_splits)).cast("int").alias("split"),
+        "member", F.col("grp").alias("group_a"), F.col("own").alias("block_a"), F.col("other").alias("block_b")
     )
     right = heavy.select(
-        F.col("member").alias("_member"),
-        F.col("grp").alias("group_b"),
-        F.explode(F.sequence(F.lit(0), F.lit(heavy_splits - 1))).alias("_split"),
+        "member", F.col("grp").alias("group_b"), F.col("other").alias("block_a"), F.col("own").alias("block_b")
+    )
+    spread = (
+        left.join(right, ["member", "block_a", "block_b"])
+        .filter(F.col("group_a") < F.col("group_b"))
+        .select("group_a", "group_b", F.lit(1).cast("long").alias("n"))
     )
-    spread = left.join(
-        right,
-        (F.col("member") == F.col("_member"))
-        & (F.col("split") == F.col("_split"))
-        & (F.col("group_a") < F.col("group_b")),
-    ).select("group_a", "group_b", F.lit(1).cast("long").alias("n"))
 
     return (
         light.unionByName(spread)

@@ -73,6 +73,21 @@ def test_exact_quantiles_null_key_and_one_cell(spark):
     assert len(got) == 1 and got[0]["m"] == 100.0 + 50 * 1e-9
 
 
+@pytest.mark.parametrize("scale, shift", [(1e-9, 0.0), (1e-5, 7.0), (-1e-300, 0.0), (1e-7, -3.0)])
+def test_no_part_of_a_cell_holds_much_of_a_hot_group(spark, scale, shift):
+    values = np.random.default_rng(2).random(4001) * scale + shift
+    df = spark.createDataFrame([("hot", float(v)) for v in values], "k string, v double")
+    ranked = quantiles.rows_to_rank(df, ["k"], {"m": "v"})
+    assert ranked.groupBy("_cell", "_part").count().agg(F.max("count")).first()[0] <= 40
+    assert quantiles.exact_quantiles(df, ["k"], {"m": "v"}).first()["m"] == np.median(values)
+
+
+def test_quantiles_of_infinities(spark):
+    df = spark.createDataFrame([(v,) for v in (-math.inf, 0.0, -0.0, 1.0, math.inf)], "v double")
+    for q, value in ((0.0, -math.inf), (0.5, 0.0), (0.75, 1.0), (1.0, math.inf)):
+        assert quantiles.exact_quantiles(df.withColumn("k", F.lit(1)), ["k"], {"m": "v"}, q).first()["m"] == value
+
+
 def test_unknown_members_keep_null_keys(spark, rows):
     parts = spark.createDataFrame([("p1", "x")], "part string, name string")
     dim = star.build_dimension(parts, "part_key", "part", ["name"])
@@ -91,13 +106,13 @@ def brute_pairs(pairs):
     return shared
 
 
-@pytest.mark.parametrize("light, splits", [(64, 16), (3, 4), (1, 2)])
-def test_shared_members_brute_force(spark, light, splits):
+@pytest.mark.parametrize("light, block", [(64, 1024), (3, 4), (1, 2)])
+def test_shared_members_brute_force(spark, light, block):
     rng = random.Random(3)
     pairs = [(f"m{rng.randrange(60)}", f"g{rng.randrange(12):02d}") for _ in range(400)]
     pairs += [("hot", f"g{i:02d}") for i in range(12)] * 50 + [(None, "g01"), ("m1", None)]
     df = spark.createDataFrame(pairs, "m string, g string")
-    got = graph.shared_members(graph.memberships(df, "m", "g"), light, splits)
+    got = graph.shared_members(graph.memberships(df, "m", "g"), light, block)
     expected = brute_pairs([p for p in pairs if None not in p])
     assert {(r["group_a"], r["group_b"]): r["shared"] for r in got.collect()} == dict(expected)
 
