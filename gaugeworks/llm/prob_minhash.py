@@ -8,7 +8,9 @@ where all weights are equal. A shingle stops as soon as its next arrival comes a
 latest register, which ends nearly all of them after one.
 
 Registers are cut into bands. Texts that agree in a band are candidates, and candidates are
-verified by the exact Jaccard similarity of their shingles, to which the threshold refers. Texts with equal words are one text from the start, so copies cost
+verified by the exact Jaccard similarity of their shingles, to which the threshold refers. As
+J_P is far below it where one text repeats a line, a text with repeated shingles has the bands
+of its shingles with all weights 1 too; in any other text both are the same keys. Texts with equal words are one text from the start, so copies cost
 nothing. In a bucket every text is first verified against the smallest id, the leader: a
 group of any size is linked by as many pairs as it has members. Where a leader's texts are
 still in several classes, the one nearest to it outside its own class leads them once more,
@@ -39,7 +41,7 @@ from gaugeworks.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# A pair at the threshold agrees in some band with probability 1 - (1 - 0.8**6)**24 = 0.9993.
+# A pair at the threshold agrees in some band of weights 1 with probability 1 - (1 - 0.8**6)**24 = 0.9993.
 BANDS = 24
 BAND_ROWS = 6
 # Words sketched at once in a task; one longer text is sketched alone.
@@ -115,16 +117,28 @@ def registers(document: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n:
     return owner.reshape(n, m)
 
 
-def _sketch_chunk(ids: list, texts: list[list[bytes]], bands: int, rows: int) -> pd.DataFrame:
-    import xxhash
-
-    document, shingle, count = weighted_shingles(texts)
-    owners = registers(document, shingle, count, len(texts), bands * rows).reshape(len(texts), bands, rows)
+def band_keys(owners: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(n, bands) keys of the registers' bands."""
+    owners = owners.reshape(len(owners), bands, rows)
     with np.errstate(over="ignore"):
         keys = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _GOLDEN
         for k in range(rows):
             keys = mix(keys * _ODD + owners[:, :, k])
-    keys = keys.view(np.int64)
+    return keys.view(np.int64)
+
+
+def _sketch_chunk(ids: list, texts: list[list[bytes]], bands: int, rows: int) -> pd.DataFrame:
+    import xxhash
+
+    document, shingle, count = weighted_shingles(texts)
+    keys = list(band_keys(registers(document, shingle, count, len(texts), bands * rows), bands, rows))
+    heavy = np.unique(document[count > 1])
+    if len(heavy):
+        part = np.isin(document, heavy)
+        owner, one = np.searchsorted(heavy, document[part]), np.ones(int(part.sum()))
+        plain = band_keys(registers(owner, shingle[part], one, len(heavy), bands * rows), bands, rows)
+        for i, row in zip(heavy.tolist(), plain, strict=True):
+            keys[i] = np.union1d(keys[i], row)
     bounds = np.searchsorted(document, np.arange(len(texts) + 1))
     short = (shingle >> np.uint64(32)).astype("<u4")
     out = []

@@ -191,6 +191,15 @@ def test_near_classes(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_near_copies_with_a_line_repeated(spark):
+    texts = []
+    for i in range(20):
+        lines = [prose(14, 1000 + 30 * i + k) for k in range(21)]
+        texts += ["\n".join(lines), "\n".join([*lines, *[lines[-1]] * 60])]
+    got = {r.doc_id: r.class_id for r in prob_minhash.near_classes(table(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_language(spark):
     alphabets = {"aa": "abcde", "bb": "vwxyz"}
     rows, n = [], 0
