@@ -163,6 +163,25 @@ def test_suffix_dedup(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), sum(mask), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_with_repeated_ids(spark):
+    line, own = prose(12, 40), prose(30, 41)
+    rows = [(1, line), (2, f"{own} {line}"), (2, f"{own} {line}"), (2, f"{prose(50, 42)} {line} x"), (3, f"{line} {own}"), (3, prose(40, 43))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    want = []
+    for i, text in rows:
+        raw = text.encode()
+        others = b"\0".join(t.encode() for j, t in rows if j < i)
+        mask = bytearray(len(raw))
+        for k in range(len(raw) - 49):
+            if raw[k : k + 50] in others:
+                mask[k : k + 50] = b"\1" * 50
+        runs = sum(1 for k in range(len(mask)) if mask[k] and not (k and mask[k - 1]))
+        kept = bytes(x for x, gone in zip(raw, mask, strict=True) if not gone)
+        want.append((i, len(raw), sum(mask), runs, hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_near_classes(spark):
     edited = [BASE.split() for _ in range(30)]
     for i, words in enumerate(edited):
