@@ -3,8 +3,9 @@
 Base spans come from three patterns. Further candidates are key-like strings: long runs of
 letters and digits that mix upper case, lower case and digits. For every candidate's hash
 the whole corpus is counted: in how many distinct repositories and with how many distinct
-owners does it occur? A value that many owners share is a copied example; a value that one
-owner alone uses looks live, and its spans are added.
+owners does it occur? A value that many owners share, or that one owner has in many
+repositories, is a copied example; a value that one owner alone uses, in few repositories,
+looks live, and its spans are added.
 
 Counts are taken in three steps (value, owner, repository), each summed inside the tasks
 before it is shuffled, so that a value in a third of all rows is a row per task.
@@ -31,8 +32,9 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-# A value is live while no more owners than this have it.
+# A value is live while no more owners than this have it, in no more repositories than this.
 MAX_OWNERS = 1
+MAX_REPOSITORIES = 10
 
 
 def matches(text: Column, pattern: str, group: int) -> Column:
@@ -112,16 +114,23 @@ def ownership(found: DataFrame, repository: str = "doc_id") -> DataFrame:
 
 
 def find_secrets(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = MAX_OWNERS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    owner: str = "source",
+    max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, base, added.
 
     base: the base spans, by start and then kind. added: candidates whose value no more
-    than ``max_owners`` owners have; widely copied ones are left out. Both are
+    than ``max_owners`` owners have, in no more than ``max_repositories`` repositories (an
+    id is one); widely copied ones are left out. Both are
     array<struct<start, rank, kind, end, value>>. A text without a span has empty arrays.
     """
     found = materialize(scan(docs, doc_id, text, owner).withColumn("row", F.monotonically_increasing_id()))
-    live = ownership(found).filter(F.col("owners") <= max_owners).select("value_sha256")
+    few = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    live = ownership(found).filter(few).select("value_sha256")
     wanted = found.filter(F.size("more") > 0).select("row", F.explode("more").alias("span"))
     wanted = wanted.withColumn("value_sha256", F.sha2("span.value", 256))
     added = wanted.join(live, "value_sha256", "left_semi").groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("added"))

@@ -112,6 +112,13 @@ def test_secrets(spark):
     assert spans[2] == spans[3] == [] and spans[4] == [("hex", 0, 28)]
 
 
+def test_a_value_in_many_documents_of_one_owner_is_copied(spark):
+    copied, live = "cX5" + "nR7" * 7, "dW6" + "oS4" * 7
+    texts = [f"{i} {copied}" for i in range(11)] + [f"{i} {live}" for i in range(10)]
+    got = {r.doc_id: len(r.added) for r in secrets.find_secrets(table(spark, texts, ["a"])).collect()}
+    assert got == {i: int(i >= 11) for i in range(21)}
+
+
 def test_rules_are_learned_and_measured(spark):
     good = [prose(90, 100 + i) for i in range(60)]
     bad = [" ".join(f"{w}$$$" for w in t.split()) for t in good]
