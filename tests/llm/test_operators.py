@@ -170,6 +170,34 @@ def test_suffix_dedup(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), sum(mask), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_with_hot_anchors(spark, monkeypatch):
+    line = prose(12, 44)
+    texts = [f"{prose(12, 500 + i)} {line} {prose(12, 700 + i)}" for i in range(60)]
+    docs = table(spark, [*TEXTS, *texts])
+    runs = lambda: sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect())
+    ranges = []
+
+    def sorted_range(group):
+        parts = [suffix_dedup._unpack(p) for p in group["payload"] if p]
+        return collections.Counter(int(g) for p in parts for g in p["gram"])
+
+    cold = runs()
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 20)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    assert runs() == cold
+    raw = [t.encode() for t in texts]
+    plain = docs.filter(F.col("doc_id") >= len(TEXTS)).withColumn("part", F.lit(0))
+    hot = suffix_dedup.hot_grams(plain)
+    assert len(hot) >= 2
+    for known in (hot[:0], hot):
+        batch = plain.select("doc_id", "part", "text").toPandas()
+        batch["grams"] = [[np.unique(suffix_dedup.anchors([r])[1]).tobytes()] for r in raw]
+        sent = [f for f in suffix_dedup._contexts(64, known)(iter([batch])) if f["payload"].str.len().any()]
+        owners = [sorted_range(g) for f in sent for _, g in f.groupby("range")]
+        ranges.append([sum(int(h) in o for o in owners) for h in hot])
+    assert max(ranges[0]) == 1 and max(ranges[1]) > 30
+
+
 def test_suffix_dedup_with_repeated_ids(spark):
     line, own = prose(12, 40), prose(30, 41)
     rows = [(1, line), (2, f"{own} {line}"), (2, f"{own} {line}"), (2, f"{prose(50, 42)} {line} x"), (3, f"{line} {own}"), (3, prose(40, 43))]
