@@ -72,20 +72,36 @@ def shared_folder(spark: SparkSession) -> str:
 _SCOPES: list[list[str]] = []
 
 
+def written(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
+    """``materialize``, by folders of ``partition_by``, with the path, which ``remove`` takes."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gaugeworks-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    remove_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result that several consumers read to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives later plans real sizes. The
     files go when the enclosing ``scratch`` scope ends, or else with the application.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gaugeworks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return written(df)[0]
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """The files under ``path`` go with the enclosing ``scratch`` scope or with the application."""
     fs, target = _file_system(spark, path)
     fs.deleteOnExit(target)
     if _SCOPES:
         _SCOPES[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove files before that, when nothing reads them any more."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
 
 
 @contextlib.contextmanager
@@ -96,8 +112,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            fs, target = _file_system(spark, path)
-            fs.delete(target, True)
+            remove(spark, path)
 
 
 def _file_system(spark: SparkSession, path: str):

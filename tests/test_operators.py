@@ -345,8 +345,6 @@ EVIDENCE_SCHEMA = (
         ({"target": "egfr"}, [1, 2]),
         ({"standard_type": "IC50", "max_value_nm": 2}, [1, 2]),
         ({"min_confidence": 8, "limit": 1}, [1]),
-        ({"limit": 0}, [1, 2, 3, 4]),
-        ({"limit": -4}, [1]),
         ({"limit": 999}, [1, 2, 3, 4]),
         ({"query": "absent"}, []),
     ],
