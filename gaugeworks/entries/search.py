@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeworks.entries.registry import query
+from gaugeworks.entries.registry import ORACLES, query
 from gaugeworks.entries.twin import CURATED, QUALITY, SIMILARITY, SUMMARY, twin
 from gaugeworks.entries.warehouse import Warehouse, load
 from gaugeworks.functions.text import FOLD_FROM, FOLD_TO, LIGATURES, matches_any
+from gaugeworks.operators import postings_index
+from gaugeworks.operators.bitmap_search import (
+    MUST,
+    SHOULD,
+    clause_of,
+    keyword,
+    search_batch,
+    search_evidence_batch,
+    union_of,
+    write_bitmaps,
+)
 from gaugeworks.operators.bm25 import bm25_topk
-from gaugeworks.operators.search import bool_query, postings, search_evidence, terms_aggregation
+from gaugeworks.operators.search import EVIDENCE_TEXT_FIELDS, bool_query, by_potency, postings, search_evidence, terms_aggregation
 from gaugeworks.operators.vectors import (
     EMBEDDING_DIM,
     build_cells,
@@ -18,7 +29,7 @@ from gaugeworks.operators.vectors import (
     knn_cosine,
 )
 from gaugeworks.plans import corpus, relationships, serving
-from gaugeworks.session import materialize, spread
+from gaugeworks.session import materialize, scratch_path, spread
 
 
 def fold_sql(column: str) -> str:
@@ -138,6 +149,100 @@ def bool_match_filter_multisort(spark, sf_dir):
     return rows.orderBy(F.col("confidence_score").desc(), F.col("pchembl_value").desc())
 
 
+EVIDENCE_KEYWORDS = ("target_chembl_id", "standard_type")
+
+REQUESTS = """requests as (
+  select s_suppkey as request, case s_suppkey % 4 when 0 then 'Urgent RING' when 2 then 'high bolt' when 3 then 'medium' end as query,
+    case when s_suppkey % 2 = 0 then s_nationkey end as target_chembl_id,
+    case when s_suppkey % 3 = 0 then n_name end as target_name,
+    case s_suppkey % 5 when 0 then 'IC50' when 1 then 'Ki' end as standard_type,
+    case when s_suppkey % 2 = 1 then 50000000 end as max_value_nm,
+    case when s_suppkey % 3 = 1 then 8 end as min_confidence,
+    1 + s_suppkey % 20 as hits
+  from supplier left join nation on s_nationkey = n_nationkey)"""
+
+
+def _evidence_bitmaps(spark, sf_dir):
+    evidence = Warehouse(spark, sf_dir).curated.select("target_chembl_id", *EVIDENCE_COLUMNS.split(", "))
+    return write_bitmaps(evidence, "activity_id", EVIDENCE_TEXT_FIELDS, EVIDENCE_KEYWORDS, scratch_path(spark, "bitmaps"), by_potency())
+
+
+@query(
+    "evidence_search_batch",
+    twin(
+        f"""select request, rank, {EVIDENCE_COLUMNS} from (
+              select request, hits, {", ".join(f"e.{c}" for c in EVIDENCE_COLUMNS.split(", "))},
+                cast(row_number() over (partition by request order by pchembl_value desc nulls last,
+                  standard_value_nm asc nulls last, activity_id) as int) as rank
+              from asked r join evidence e on
+                (r.query is null or list_has_any(r.words, e.a) or list_has_any(r.words, e.c) or list_has_any(r.words, e.t))
+                and (r.target_chembl_id is null or r.target_chembl_id = e.target_chembl_id)
+                and (r.target_chembl_id is not null or r.target_name is null or list_has_any(r.names, e.t))
+                and (r.standard_type is null or r.standard_type = e.standard_type)
+                and (r.max_value_nm is null or e.standard_value_nm <= r.max_value_nm)
+                and (r.min_confidence is null or e.confidence_score >= r.min_confidence))
+            where rank <= hits""",
+        CURATED,
+        REQUESTS,
+        f"asked as (select *, {tokens_sql('query')} as words, {tokens_sql('target_name')} as names from requests)",
+        f"""evidence as (select *, {tokens_sql("assay_description")} as a, {tokens_sql("compound_name")} as c,
+            {tokens_sql("target_name")} as t from curated)""",
+    ),
+)
+def evidence_search_batch(spark, sf_dir):
+    """One request per supplier, answered together from bitmaps."""
+    nation = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    s = F.col("s_suppkey")
+    words = F.when(s % 4 == 0, "Urgent RING").when(s % 4 == 2, "high bolt").when(s % 4 == 3, "medium")
+    requests = load(spark, sf_dir, "supplier").join(nation, "s_nationkey", "left").select(
+        s.alias("request"),
+        words.alias("query"),
+        F.when(s % 2 == 0, F.col("s_nationkey")).alias("target_chembl_id"),
+        F.when(s % 3 == 0, F.col("n_name")).alias("target_name"),
+        F.when(s % 5 == 0, "IC50").when(s % 5 == 1, "Ki").alias("standard_type"),
+        F.when(s % 2 == 1, F.lit(50_000_000)).alias("max_value_nm"),
+        F.when(s % 3 == 1, F.lit(8)).alias("min_confidence"),
+        (1 + s % 20).alias("hits"),
+    )
+    fields = {"query": EVIDENCE_TEXT_FIELDS, "target": ["target_name"]}
+    hits = search_evidence_batch(_evidence_bitmaps(spark, sf_dir), requests, fields)
+    return hits.select("request", "rank", *EVIDENCE_COLUMNS.split(", "))
+
+
+@query(
+    "bool_should_batch",
+    twin(
+        f"""select n_nationkey as request, {EVIDENCE_COLUMNS} from nation join curated on
+              {any_token("assay_description", "medium low")}
+              and (case when {any_token("compound_name", "bolt anvil")} then 1 else 0 end
+                   + case when list_has_any({tokens_sql("target_name")}, {tokens_sql("n_name")}) then 1 else 0 end
+                   + case when standard_type = 'Ki' then 1 else 0 end) >= 1 + n_nationkey % 3""",
+        CURATED,
+    ),
+)
+def bool_should_batch(spark, sf_dir):
+    """Per nation: medium or low priority, and one, two or all three of name, nation and type."""
+    nations = load(spark, sf_dir, "nation")
+    requests = nations.select(
+        F.col("n_nationkey").alias("request"),
+        (1 + F.col("n_nationkey") % 3).alias("least_should"),
+        "n_name",
+        F.lit("medium low").alias("priority"),
+        F.lit("bolt anvil").alias("compound"),
+    )
+    clauses = union_of(
+        [
+            clause_of(requests, 0, MUST, "priority", ["assay_description"]),
+            clause_of(requests, 1, SHOULD, "compound", ["compound_name"]),
+            clause_of(requests, 2, SHOULD, "n_name", ["target_name"]),
+            keyword(requests, 3, SHOULD, F.lit("Ki"), "standard_type"),
+        ]
+    )
+    asked = requests.select("request", "least_should")
+    hits = search_batch(_evidence_bitmaps(spark, sf_dir), asked, clauses)
+    return hits.select("request", *EVIDENCE_COLUMNS.split(", "))
+
+
 @query(
     "terms_agg",
     twin(
@@ -213,6 +318,35 @@ def bm25_topk_entry(spark, sf_dir):
     )
 
 
+def _document_index(spark, sf_dir):
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id").select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("title"), "text", "lang"
+    )
+    fields = {"title": "title", "text": "text"}
+    return postings_index.write_index(docs, "doc_id", fields, scratch_path(spark, "postings"), cluster="lang")
+
+
+@query("bm25_indexed", ORACLES["bm25_topk"])
+def bm25_indexed(spark, sf_dir):
+    """The benchmark questions again, from a stored index; no text is read after it is built."""
+    index = _document_index(spark, sf_dir)
+    return postings_index.bm25_indexed(index, load(spark, sf_dir, "benchmark"), "item_id", "text", 10, {"title": 2.0, "text": 1.0})
+
+
+@query(
+    "related_documents",
+    f"""with docs as (select doc_id, split_part(text, chr(10), 1) as title, text from documents),
+       queries as (select doc_id as query_id, title as text from docs where doc_id % 20 = 0),
+       {bm25_sql("docs", {"title": 2.0, "text": 1.0}, "queries", 10, "bigint")}
+       select query_id, item_id, rank, score from ranked_docs""",
+)
+def related_documents(spark, sf_dir):
+    """Documents like the first line of every twentieth document, itself included: as many queries as the table asks for."""
+    asked = load(spark, sf_dir, "documents").filter("doc_id % 20 = 0")
+    asked = asked.select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    return postings_index.bm25_indexed(_document_index(spark, sf_dir), asked, "doc_id", "title", 10, {"title": 2.0, "text": 1.0})
+
+
 # ---------------------------------------------------------------------- vectors
 
 

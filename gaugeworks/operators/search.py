@@ -45,6 +45,15 @@ def asked_for(limit: int | None, default: int) -> int:
     return wanted
 
 
+def by_potency() -> list[Column]:
+    """Strongest first, then by value, then by id."""
+    return [
+        F.col("pchembl_value").desc_nulls_last(),
+        F.col("standard_value_nm").asc_nulls_last(),
+        F.col("activity_id").asc(),
+    ]
+
+
 def search_evidence(
     evidence: DataFrame,
     *,
@@ -58,7 +67,9 @@ def search_evidence(
 ) -> DataFrame:
     """Curated rows that match, strongest first.
 
-    Text only filters; the order is by potency, then value, then id.
+    Text only filters; the order is by potency, then value, then id. ``limit`` is the number of rows
+    asked for, the default where it is None; below 1 it is an error, and it has no upper bound. For many
+    requests at once see ``bitmap_search.search_evidence_batch``.
     """
     conditions: list[Column] = []
     target_id = resolve(target) if target else None
@@ -75,11 +86,7 @@ def search_evidence(
     must = [multi_match(query, EVIDENCE_TEXT_FIELDS)] if query else []
     return (
         evidence.filter(bool_query(must=must, filters=conditions))
-        .orderBy(
-            F.col("pchembl_value").desc_nulls_last(),
-            F.col("standard_value_nm").asc_nulls_last(),
-            F.col("activity_id").asc(),
-        )
+        .orderBy(*by_potency())
         .limit(asked_for(limit, DEFAULT_HITS))
     )
 

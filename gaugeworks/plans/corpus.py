@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.clean import number_text, value_text
 from gaugeworks.operators.bm25 import PASSAGE_BOOSTS, bm25_topk
 from gaugeworks.operators.dedup import keep_first
+from gaugeworks.operators.postings_index import PostingsIndex, bm25_indexed, write_index
 from gaugeworks.operators.search import asked_for
 from gaugeworks.operators.vectors import EMBEDDING_DIM, hashed_embedding, knn_cosine
 
 # Passage kinds, the default result size.
 DOC_TYPES = ("target_summary", "assay", "target_relationship", "metric_glossary")
 DEFAULT_PASSAGES = 5
+PASSAGE_FIELDS = {"title": "title", "text": "text"}
 
 PASSAGE_COLUMNS = ("doc_id", "doc_type", "target_chembl_id", "entity_id", "title", "text")
 
@@ -161,15 +163,23 @@ def embed_passages(corpus: DataFrame, dim: int = EMBEDDING_DIM) -> DataFrame:
     return hashed_embedding(corpus, passage_text(), dim)
 
 
+def index_passages(corpus: DataFrame, path: str) -> PostingsIndex:
+    """A stored index of the passages' titles and texts."""
+    return write_index(corpus, "doc_id", PASSAGE_FIELDS, path, cluster="doc_type")
+
+
 def search_passages(
     corpus: DataFrame,
     queries: DataFrame,
     doc_type: str | None = None,
     limit: int | None = DEFAULT_PASSAGES,
     mode: str = "semantic",
+    index: PostingsIndex | None = None,
 ) -> DataFrame:
     """Passages for a table of queries (query_id, text[, embedding]).
 
+    With an ``index`` of the corpus, as ``index_passages`` writes it, lexical ranking reads no text.
+
     Semantic search is cosine over ``embedding`` and scores (1 + cosine) / 2; queries without a
     vector, or all of them in keyword mode, are ranked lexically. ``retrieval`` says which.
     """
@@ -179,17 +189,11 @@ def search_passages(
     pool = corpus.filter(F.col("doc_type") == doc_type) if doc_type else corpus
 
     def lexical(asked: DataFrame, label: str) -> DataFrame:
-        hits = bm25_topk(
-            corpus,
-            "doc_id",
-            {"title": "title", "text": "text"},
-            asked,
-            "query_id",
-            "text",
-            k,
-            PASSAGE_BOOSTS,
-            matching=pool,
-        )
+        if index is not None:
+            allowed = pool.select(F.col("doc_id").alias("item_id")) if doc_type else None
+            hits = bm25_indexed(index, asked, "query_id", "text", k, PASSAGE_BOOSTS, matching=allowed)
+        else:
+            hits = bm25_topk(corpus, "doc_id", PASSAGE_FIELDS, asked, "query_id", "text", k, PASSAGE_BOOSTS, matching=pool)
         return hits.withColumn("retrieval", F.lit(label))
 
     if mode == "keyword":

@@ -10,6 +10,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugeworks.operators.postings_index import write_index
+from gaugeworks.operators.search import EVIDENCE_TEXT_FIELDS
 from gaugeworks.plans import corpus, gold, relationships, serving, silver
 from gaugeworks.plans.contract_checks import warehouse_suite
 from gaugeworks.session import configure
@@ -76,7 +78,7 @@ def build_graph(spark: SparkSession, fmt: str = "parquet") -> None:
 
 
 def build_index(spark: SparkSession, path: str, shards: Sequence[str] = ()) -> None:
-    """Evidence documents and embedded passages as parquet, replaced on every run."""
+    """Evidence documents, embedded passages, and postings of both, as parquet, replaced on every run."""
     curated = spark.table("gold.mart_compound_target_potency")
     serving.evidence_documents(curated).write.mode("overwrite").partitionBy(*shards).parquet(
         f"{path}/evidence"
@@ -87,6 +89,9 @@ def build_index(spark: SparkSession, path: str, shards: Sequence[str] = ()) -> N
         spark.table("gold.mart_assay_quality"),
     )
     corpus.embed_passages(passages).write.mode("overwrite").parquet(f"{path}/knowledge")
+    corpus.index_passages(spark.read.parquet(f"{path}/knowledge"), f"{path}/knowledge_postings")
+    searched = {name: name for name in EVIDENCE_TEXT_FIELDS}
+    write_index(spark.read.parquet(f"{path}/evidence"), "doc_id", searched, f"{path}/evidence_postings", cluster="target_chembl_id")
 
 
 class FailedChecks(RuntimeError):

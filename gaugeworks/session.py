@@ -75,12 +75,18 @@ _SCOPES: list[list[str]] = []
 def written(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
     """``materialize``, by folders of ``partition_by``, with the path, which ``remove`` takes."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gaugeworks-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.partitionBy(*partition_by).parquet(path)
-    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for what a job writes in a layout of its own; removed like materialized tables."""
+    path = f"{shared_folder(spark)}/gaugeworks-{name}-{uuid.uuid4().hex}"
+    remove_at_end(spark, path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result that several consumers read to the shared folder and read it back.
 
