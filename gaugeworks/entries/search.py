@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gaugeworks.entries.registry import ORACLES, query
 from gaugeworks.entries.twin import CURATED, QUALITY, SIMILARITY, SUMMARY, twin
 from gaugeworks.entries.warehouse import Warehouse, load
 from gaugeworks.functions.text import FOLD_FROM, FOLD_TO, LIGATURES, matches_any
-from gaugeworks.operators import postings_index
+from gaugeworks.operators import cell_index, postings_index
 from gaugeworks.operators.bitmap_search import (
     MUST,
     SHOULD,
@@ -349,6 +351,8 @@ def related_documents(spark, sf_dir):
 
 # ---------------------------------------------------------------------- vectors
 
+MOST_CELLS = 1024
+
 
 def _label_queries(items):
     """One query per label: the mean vector of the label's items."""
@@ -387,6 +391,44 @@ def knn_cells_entry(spark, sf_dir):
     return knn_cells(index, _label_queries(items), 20, probes=8)
 
 
+def _cell_index(spark, sf_dir):
+    items = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    cells = math.ceil(math.sqrt(items.count())) or 1
+    return cell_index.write_cells(items, min(cells, MOST_CELLS), scratch_path(spark, "cells"))
+
+
+def _some_cells(index):
+    return math.ceil(len(index.codec.centres) * 0.4)
+
+
+@query("knn_indexed", KNN_SQL)
+def knn_indexed(spark, sf_dir):
+    """The label means again, from the stored index: four cells in ten, then what could still change the answer."""
+    index = _cell_index(spark, sf_dir)
+    probes = _some_cells(index)
+    return cell_index.search(index, _label_queries(load(spark, sf_dir, "embeddings")), 20, probes, exact=True).hits
+
+
+@query(
+    "knn_every_twentieth",
+    """with parts as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from embeddings),
+       norms as (select vec_id, sqrt(sum(x * x)) as n from parts group by 1),
+       dots as (select q.vec_id as query_id, p.vec_id as item_id, sum(q.x * p.x) as dot
+                from parts q join parts p using (dim) where q.vec_id % 20 = 0 group by 1, 2),
+       scored as (select query_id, item_id, round(dot / (a.n * b.n), 6) as score
+                  from dots join norms a on a.vec_id = query_id join norms b on b.vec_id = item_id)
+       select query_id, item_id, score,
+         cast(row_number() over (partition by query_id order by score desc, item_id) as int) as rank
+       from scored qualify rank <= 10""",
+)
+def knn_every_twentieth(spark, sf_dir):
+    """The neighbours of every twentieth vector, itself included: as many queries as the table asks for."""
+    index = _cell_index(spark, sf_dir)
+    queries = load(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    probes = _some_cells(index)
+    return cell_index.search(index, queries, 10, probes, exact=True).hits
+
+
 def buckets_sql(column: str) -> str:
     return (
         f"list_transform({tokens_sql(column)}, "
