@@ -21,13 +21,15 @@ from gaugeworks.operators.bm25 import K1, B
 from gaugeworks.operators.dedup import top_per_group
 from gaugeworks.operators.search import term_counts
 from gaugeworks.operators.topk import SCORE_DIGITS
-from gaugeworks.session import materialize
+from gaugeworks.session import materialize, remove, written
 
 # Items in a bucket, blocks of one term in a folder, and items in a folder.
 BUCKET_ITEMS = 256
 SHARD_BUCKETS = 1024
 PART_ITEMS = 50_000
 LEAST_PARTS = 8
+# Tasks that write one folder.
+PART_TASKS = 8
 # Buckets scored before the others are judged, per query.
 FIRST_BUCKETS = 8
 # Bounds and scores are sums of the same numbers in another order.
@@ -91,7 +93,7 @@ def write_index(
     )
     kept = [F.col(item_id).alias("item_id"), (F.lit(None) if cluster is None else F.col(cluster)).alias("cluster")]
     placed = bucket_of(items.select(*kept, *fields.values()), "cluster" if cluster else None)
-    counted = materialize(
+    counted, scratch = written(
         placed.select("item_id", "bucket", words)
         .filter(F.size("words") > 0)
         .select("field", "item_id", "bucket", F.size("words").alias("length"), term_counts(F.col("words")).alias("counts"))
@@ -123,18 +125,19 @@ def write_index(
     share = saturation(F.col("tf"), F.col("length"), F.col("average_length"))
     (
         # the term leads, as sorts compare the first key's prefix before anything else
-        postings.repartition(parts, "part")
+        postings.repartition(parts * PART_TASKS, "part", F.pmod(F.xxhash64("term"), F.lit(PART_TASKS)))
         .groupBy("term", "bucket", "field", "part")
         .agg(
             F.max(share).alias("peak"),
             F.count(F.lit(1)).alias("n"),
-            F.collect_list(F.struct("item_id", "tf", "length")).alias("postings"),
+            F.collect_list(F.struct("item_id", F.col("tf").cast("int").alias("tf"), "length")).alias("postings"),
         )
         .sortWithinPartitions("term", "field", "bucket")
         .write.mode("overwrite")
         .partitionBy("part")
         .parquet(f"{path}/blocks")
     )
+    remove(spark, scratch)
     kind = counted.schema["item_id"].dataType.simpleString()
     layout = spark.createDataFrame([(shards, parts, kind)], "shards int, parts int, item_type string")
     layout.write.mode("overwrite").parquet(f"{path}/layout")
@@ -149,7 +152,7 @@ def write_index(
 
 
 def _blocks(spark: SparkSession, path: str, item_type: str) -> DataFrame:
-    postings = f"array<struct<item_id:{item_type},tf:bigint,length:int>>"
+    postings = f"array<struct<item_id:{item_type},tf:int,length:int>>"
     schema = f"term string, bucket bigint, field string, peak double, n bigint, postings {postings}, part int"
     return spark.read.schema(schema).parquet(f"{path}/blocks")
 

@@ -84,11 +84,10 @@ def test_edges(spark, tmp_path):
 def test_prunes_folders_by_cell(spark, tmp_path):
     items, queries = frames(spark, clustered(300), clustered(3, seed=8))
     index = cell_index.write_cells(items, 10, str(tmp_path))
-    units = cell_index._units(queries)
-    probed = cell_index._near_cells(index, units, 2).withColumn("least", F.lit(None).cast("double"))
+    probed = cell_index._near_cells(index, queries, 2).withColumn("least", F.lit(None).cast("double"))
     plan = io.StringIO()
     with contextlib.redirect_stdout(plan):
-        cell_index._candidates(index, cell_index.materialize(probed), units, 10, 1).explain("formatted")
+        cell_index._candidates(index, cell_index.materialize(probed), queries, 10, 1).explain("formatted")
     scans = [line for line in plan.getvalue().splitlines() if "PartitionFilters" in line and "cell" in line]
     assert any("dynamicpruning" in line for line in scans)
     assert {p.name for p in tmp_path.joinpath("vectors").glob("cell=*")} == {f"cell={r['cell']}" for r in index.cells.filter("n > 0").collect()}
