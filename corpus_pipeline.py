@@ -1,7 +1,8 @@
 """A corpus from documents: quality rules, exact dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is
-written as Parquet to the shared folder and read again before the next one starts.
+written as Parquet to the shared folder and read again before the next one starts. Stages
+that hand texts to Python lower the session's number of rows a batch, and leave it so.
 """
 
 from __future__ import annotations
@@ -12,9 +13,17 @@ from gaugeworks.llm import exact_dedup, mixing, packing, prob_minhash, quality_r
 from gaugeworks.llm.common import table
 from gaugeworks.session import materialize
 
+# Whole texts that a Python worker holds at a time; a stage's result is written after it returned.
+TEXTS_AT_ONCE = "500"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_AT_ONCE)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned decision list rejects go."""
+    _small_batches(spark)
     return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -35,6 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    _small_batches(spark)
     return packing.pack_documents(docs)
 
 
