@@ -28,7 +28,7 @@ END = 2
 # Pieces packed together in one task, on average.
 GROUP_PIECES = 50_000
 # Words a worker remembers the ids of, and as many parts of words; those met later are looked up anew.
-REMEMBERED = 500_000
+REMEMBERED = 60_000
 GROUP_STRIDE = 1 << 32
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
