@@ -9,7 +9,7 @@ from gaugeworks.entries.twin import CURATED, DQ, PROFILE, QUALITY, REASON, SUMMA
 from gaugeworks.entries.warehouse import Warehouse
 from gaugeworks.functions.rules import potency_rules
 from gaugeworks.operators import checks
-from gaugeworks.plans import gold
+from gaugeworks.plans import gold, silver
 from gaugeworks.plans.contract_checks import curated_contract, warehouse_suite
 from gaugeworks.plans.gold import REPLICATE_KEYS
 from gaugeworks.session import materialize
@@ -137,6 +137,10 @@ def _suite_sql() -> str:
 
     keyed = [
         ("stg_activity", "activity_id", "activity"),
+        ("stg_compound", "molecule_chembl_id", "dim_compound"),
+        ("stg_target", "target_chembl_id", "dim_target"),
+        ("stg_assay", "assay_chembl_id", "dim_assay"),
+        ("stg_document", "document_chembl_id", "dim_document"),
         ("dim_compound", "compound_key", "dim_compound"),
         ("dim_compound", "molecule_chembl_id", "dim_compound"),
         ("dim_target", "target_key", "dim_target"),
@@ -154,6 +158,7 @@ def _suite_sql() -> str:
     parts += [unique(t, c, s) for t, c, s in keyed]
     mart, contract = "mart_compound_target_potency", "('IC50', 'Ki', 'Kd', 'EC50')"
     parts += [
+        row("bronze_activity", "not_null_activity_id", "activity_id is null", "activity"),
         row("stg_activity", "accepted_values_standard_relation",
             "standard_relation not in ('=', '>', '<', '>=', '<=', '~')", "activity", "warn"),
         row("dim_assay", "accepted_range_confidence_score", "confidence_score < 0 or confidence_score > 9",
@@ -195,11 +200,17 @@ def _suite_sql() -> str:
 @query("check_suite", _suite_sql())
 def check_suite(spark, sf_dir):
     w = _warehouse(spark, sf_dir)
-    facts, dims = materialize(w.facts), w.dims
+    staged, dims = materialize(w.stg_activity), w.dims
+    facts = materialize(gold.fact(staged, dims))
     curated = materialize(gold.curated_mart(facts, dims))
     return warehouse_suite(
         {
-            "stg_activity": facts,
+            "bronze_activity": w.activity,
+            "stg_activity": staged,
+            "stg_compound": silver.stage_compound(w.molecule),
+            "stg_target": silver.stage_target(w.target),
+            "stg_assay": silver.stage_assay(w.assay),
+            "stg_document": silver.stage_document(w.document),
             "dim_compound": dims.compound,
             "dim_target": dims.target,
             "dim_assay": dims.assay,
