@@ -68,7 +68,8 @@ def bucket_of(items: DataFrame, cluster: str | None) -> DataFrame:
     """Adds ``bucket``: some ``BUCKET_ITEMS`` items each, of one value of ``cluster`` if that is given."""
     group = F.lit(0) if cluster is None else F.pmod(F.xxhash64(cluster), F.lit(1 << 31))
     marked = items.withColumn("_group", group.cast("long"))
-    sizes = marked.groupBy("_group").agg(F.count(F.lit(1)).alias("_items"))
+    # written, so that Spark knows its size: few groups are broadcast, and no text is shuffled
+    sizes = materialize(marked.groupBy("_group").agg(F.count(F.lit(1)).alias("_items")))
     place = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("_items") / BUCKET_ITEMS))
     return marked.join(sizes, "_group").withColumn("bucket", F.shiftleft("_group", 31) + place).drop("_group", "_items")
 
@@ -93,10 +94,11 @@ def write_index(
     )
     kept = [F.col(item_id).alias("item_id"), (F.lit(None) if cluster is None else F.col(cluster)).alias("cluster")]
     placed = bucket_of(items.select(*kept, *fields.values()), "cluster" if cluster else None)
+    counts = F.transform(term_counts(F.col("words")), lambda c: F.struct(c["term"].alias("term"), c["tf"].cast("int").alias("tf")))
     counted, scratch = written(
         placed.select("item_id", "bucket", words)
         .filter(F.size("words") > 0)
-        .select("field", "item_id", "bucket", F.size("words").alias("length"), term_counts(F.col("words")).alias("counts"))
+        .select("field", "item_id", "bucket", F.size("words").alias("length"), counts.alias("counts"))
     )
     (
         counted.groupBy("field")
@@ -109,20 +111,13 @@ def write_index(
     shards = _ceil(n_items, BUCKET_ITEMS * SHARD_BUCKETS)
     parts = max(LEAST_PARTS, _ceil(n_items, PART_ITEMS))
 
-    averages = spark.read.parquet(f"{path}/fields").select("field", "average_length")
-    postings = (
-        counted.join(F.broadcast(averages), "field")  # one row per field
-        .select(
-            "field",
-            "item_id",
-            "length",
-            "average_length",
-            "bucket",
-            F.inline("counts"),
-        )
-        .withColumn("part", part_of(F.col("term"), shard_of(F.col("bucket"), shards), parts))
+    # one row per field
+    averages = {r["field"]: r["average_length"] for r in spark.read.parquet(f"{path}/fields").collect()}
+    average = F.create_map(*[F.lit(x) for pair in averages.items() for x in pair])[F.col("field")] if averages else F.lit(1.0)
+    postings = counted.select("field", "item_id", "length", "bucket", F.inline("counts")).withColumn(
+        "part", part_of(F.col("term"), shard_of(F.col("bucket"), shards), parts)
     )
-    share = saturation(F.col("tf"), F.col("length"), F.col("average_length"))
+    share = saturation(F.col("tf"), F.col("length"), average)
     (
         # the term leads, as sorts compare the first key's prefix before anything else
         postings.repartition(parts * PART_TASKS, "part", F.pmod(F.xxhash64("term"), F.lit(PART_TASKS)))
@@ -130,7 +125,7 @@ def write_index(
         .agg(
             F.max(share).alias("peak"),
             F.count(F.lit(1)).alias("n"),
-            F.collect_list(F.struct("item_id", F.col("tf").cast("int").alias("tf"), "length")).alias("postings"),
+            F.collect_list(F.struct("item_id", "tf", "length")).alias("postings"),
         )
         .sortWithinPartitions("term", "field", "bucket")
         .write.mode("overwrite")
