@@ -120,13 +120,15 @@ def write_index(
     share = saturation(F.col("tf"), F.col("length"), average)
     (
         # the term leads, as sorts compare the first key's prefix before anything else
-        postings.repartition(parts * PART_TASKS, "part", F.pmod(F.xxhash64("term"), F.lit(PART_TASKS)))
-        .groupBy("term", "bucket", "field", "part")
+        postings.withColumn("lane", F.pmod(F.xxhash64("term"), F.lit(PART_TASKS)))
+        .repartition(parts * PART_TASKS, "part", "lane")
+        .groupBy("term", "bucket", "field", "part", "lane")
         .agg(
             F.max(share).alias("peak"),
             F.count(F.lit(1)).alias("n"),
             F.collect_list(F.struct("item_id", "tf", "length")).alias("postings"),
         )
+        .drop("lane")
         .sortWithinPartitions("term", "field", "bucket")
         .write.mode("overwrite")
         .partitionBy("part")
