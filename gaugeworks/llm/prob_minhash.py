@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,8 @@ CHUNK_WORDS = 100_000
 # Texts, or pairs with their shingles, that come to a task at once.
 BATCH_ROWS = 1_000
 EPSILON = 1e-9
+# Slots in which shingles are counted to put rare ones first: a table of this size goes with the tasks, whatever the input.
+ORDER_SLOTS = 2**18
 # Elections of further leaders before the remaining pairs are looked for one by one.
 ROUNDS = 3
 
@@ -203,6 +205,42 @@ def verify(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return _with_sketches(pairs, sketches).select("a", "b", "similarity")
 
 
+def _crowding(members: DataFrame) -> np.ndarray:
+    """How many added shingles of all members fall into each of ORDER_SLOTS slots of their hash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(ORDER_SLOTS, dtype=np.int64)
+        for batch in batches:
+            for added in batch["added"]:
+                np.add.at(counts, np.asarray(added, dtype=np.int64) % ORDER_SLOTS, 1)
+        slots = np.flatnonzero(counts)
+        yield pd.DataFrame({"slot": slots, "n": counts[slots]})
+
+    rows = members.select("added").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    crowding = np.zeros(ORDER_SLOTS, dtype=np.int64)
+    for slot, n in rows:
+        crowding[slot] = n
+    return np.minimum(crowding, 2**30)
+
+
+def _rarest(crowding: np.ndarray, added: str, length: Column) -> Column:
+    """The first ``length`` added shingles by (crowding of the slot, hash), as one number each.
+
+    Any order that is the same for all texts would do for the prefix filter; this one keeps the shingles
+    of a common passage out of prefixes, where they would pair all texts that hold it.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def first(shingles: pd.Series, lengths: pd.Series) -> pd.Series:
+        out = []
+        for row, n in zip(shingles, lengths, strict=True):
+            hashes = np.asarray(row, dtype=np.int64)
+            out.append(np.sort((crowding[hashes % ORDER_SLOTS] << 32) | hashes)[:n])
+        return pd.Series(out, dtype=object)
+
+    return first(added, length)
+
+
 def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of one leader and different labels that may be linked.
 
@@ -214,12 +252,14 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
         "*",
         linked.alias("linked"),
         F.lit(0).alias("left"),
+        F.lit(0).cast("long").alias("last"),
+        F.lit(0).cast("long").alias("shared"),
         F.size("added").alias("plus"),
         F.size("removed").alias("minus"),
         # removed shingles of a that b must meet in one, if it lacks as many of them as it must
         F.greatest(F.lit(0), F.ceil((F.size("removed") - F.size("added")) * share)).cast("int").alias("some"),
     )
-    facts = ("label", "linked", "size", "plus", "minus", "left")
+    facts = ("label", "linked", "size", "plus", "minus", "left", "last", "shared")
 
     def side(df: DataFrame, name: str, *more: str) -> DataFrame:
         named = [F.col(c).alias(f"{c}_{name}") for c in facts]
@@ -232,27 +272,26 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
     lacked = F.least("minus_a", "minus_b")
     far = told.filter(~linked)
 
-    # Prefix filter: with added shingles first, rare ones foremost, a link has a common shingle among
-    # the first (1 - s) |a| + 1 of both. A shingle that one text alone has added uses up its place only.
-    # After the first common one, no more can be common than either text has left.
-    adding = told.repartition("doc_id").select("lead", "doc_id", F.explode("added").alias("shingle"))
-    seen = adding.groupBy("lead", "shingle").agg(F.count("*").alias("texts")).filter("texts > 1")
+    # Prefix filter: with added shingles first, rare ones foremost, a link has a common shingle among the
+    # first (1 - s) |a| + 1 of both. Only these leave the row. Shingles whose holders are all in one class
+    # pair nothing. Past the end of the prefix that ends first, a pair has no more in common than is left there.
+    length = (F.floor(F.col("size") * (1 - similarity) + EPSILON) + 1).cast("int")
+    head = told.withColumn("head", _rarest(_crowding(told), "added", length)).drop("added", "removed")
+    head = head.withColumns({"last": F.element_at("head", -1), "left": F.col("plus") - F.size("head")})
+    held = materialize(head.repartition("doc_id").select("*", F.explode("head").alias("shingle")).drop("head"))
+    several = held.groupBy("lead", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    several = several.filter("low < high").select("lead", "shingle")
     one = Window.partitionBy("lead", "doc_id")
-    ranked = adding.join(seen, ["lead", "shingle"]).select(
-        "lead",
-        "doc_id",
-        "shingle",
-        F.row_number().over(one.orderBy("texts", "shingle")).alias("rank"),
-        F.count("*").over(one).alias("shared"),
-    )
-    length = F.floor(F.col("size") * (1 - similarity) + EPSILON) + 1
-    scalars = told.drop("added", "removed", "left")
-    prefixes = ranked.join(scalars, ["lead", "doc_id"]).filter(F.col("rank") + F.col("plus") - F.col("shared") <= length)
-    prefixes = materialize(prefixes.withColumn("left", F.col("shared") - F.col("rank") + 1))
+    prefixes = held.join(several, ["lead", "shingle"], "left_semi").withColumn("shared", F.count("*").over(one))
+    prefixes = materialize(prefixes)
+    later = F.when(F.col("last_a") <= F.col("last_b"), F.col("left_a")).otherwise(F.col("left_b"))
     common = (
         side(prefixes, "a", "shingle")
         .join(side(prefixes.filter(~linked), "b", "shingle"), ["lead", "shingle"])
-        .filter(apart & (need <= lacked + F.least("left_a", "left_b")))
+        .filter(apart & (need <= lacked + later + F.least("shared_a", "shared_b")))
+        .groupBy("lead", "a", "b")
+        .agg(F.count("*").alias("met"), F.first(need - lacked - later).alias("wanted"))
+        .filter("wanted <= met")
         .select("a", "b")
     )
     # Without a common added shingle, all that b shares with a it shares with the leader.
