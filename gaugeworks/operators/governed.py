@@ -7,16 +7,20 @@ table functions, file relations and dynamic identifiers are refused.
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession
 
-# Serving schema, default and largest result, tables open to ad-hoc SQL.
+# Serving schema, default and largest result, seconds a statement may take, tables open to ad-hoc SQL.
 SERVING_SCHEMA = "marts"
 DEFAULT_ROWS = 100
 MAX_ROWS = 200
+MAX_SECONDS = 5.0
 OPEN_TABLES = (
     "mart_compound_target_potency",
     "mart_target_activity_summary",
@@ -50,10 +54,13 @@ class GovernanceError(ValueError):
 
 @dataclass(frozen=True)
 class Policy:
+    """What a statement may read, how many rows it gives, and how long it may take."""
+
     tables: Collection[str] = OPEN_TABLES
     schema: str = SERVING_SCHEMA
     default_rows: int = DEFAULT_ROWS
     max_rows: int = MAX_ROWS
+    max_seconds: float = MAX_SECONDS
 
 
 @dataclass(frozen=True)
@@ -122,6 +129,16 @@ def _class_names(expression) -> set[str]:
     return names
 
 
+def _refuse_shadow(spark: SparkSession, name: str, policy: Policy) -> None:
+    """Raises where a bare name would read a temporary view instead of the serving table of that name."""
+    try:
+        hidden = spark.catalog.getTable(name).isTemporary and spark.catalog.tableExists(f"{policy.schema}.{name}")
+    except AnalysisException:
+        return
+    if hidden:
+        raise GovernanceError(f"a temporary view hides {name}; write {policy.schema}.{name}")
+
+
 def check_sql(spark: SparkSession, sql: str, policy: Policy = Policy()) -> tuple[tuple[str, ...], int]:
     """The tables a statement reads and the row limit it gets; raises ``GovernanceError``."""
     if not sql or not sql.strip():
@@ -141,6 +158,8 @@ def check_sql(spark: SparkSession, sql: str, policy: Policy = Policy()) -> tuple
             raise GovernanceError(
                 f"table {'.'.join(parts)} is not open; use one of {', '.join(sorted(allowed))}"
             )
+        if len(parts) == 1:
+            _refuse_shadow(spark, parts[0], policy)
         names.append(parts[-1])
 
     top = plan.child() if _kind(plan) == "UnresolvedWith" else plan
@@ -175,3 +194,37 @@ def governed_sql(spark: SparkSession, sql: str, policy: Policy = Policy()) -> Go
     rows = spark.sql(sql).limit(limit)
     _refuse_unlinked_joins(rows._jdf.queryExecution().optimizedPlan())
     return GovernedQuery(sql, tables, limit, rows)
+
+
+def governed_rows(spark: SparkSession, sql: str, policy: Policy = Policy()) -> list[Row]:
+    """Check, run and fetch, at most ``policy.max_rows`` rows; a statement over its time is stopped.
+
+    The time counts from the call, planning included, though only jobs can be stopped while they
+    run. Jobs carry a tag of their own, so that no other work of the session is touched; the tag
+    is cancelled again until the call returns, as a statement may be between two jobs.
+    """
+    begun = time.monotonic()
+    query = governed_sql(spark, sql, policy)
+    tag = f"governed-{uuid.uuid4().hex}"
+    done, late = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        wait = policy.max_seconds - (time.monotonic() - begun)
+        while not done.wait(max(0.0, wait)):
+            late.set()
+            spark.sparkContext.cancelJobsWithTag(tag)
+            wait = 0.2
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    spark.sparkContext.addJobTag(tag)
+    try:
+        watcher.start()
+        return query.rows.collect()
+    except Exception as error:
+        if late.is_set():
+            raise GovernanceError(f"stopped after {policy.max_seconds:g} seconds") from error
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        spark.sparkContext.removeJobTag(tag)

@@ -1,3 +1,6 @@
+import threading
+import time
+
 import pytest
 
 from gaugeworks.operators.audit import audit_sql_log
@@ -8,6 +11,7 @@ from gaugeworks.operators.governed import (
     GovernanceError,
     Policy,
     check_sql,
+    governed_rows,
     governed_sql,
 )
 
@@ -134,3 +138,39 @@ def test_log_audit(spark):
 
 def test_open_tables_leave_the_fact_out():
     assert "fact_bioactivity_result" not in OPEN_TABLES
+
+
+def test_a_slow_statement_is_stopped_and_others_are_not(spark):
+    spark.range(10**13).createOrReplaceTempView("slow_numbers")
+    spark.range(5).createOrReplaceTempView("few_numbers")
+    policy = Policy(tables=("slow_numbers", "few_numbers"), max_seconds=2)
+    other = []
+    work = threading.Thread(target=lambda: other.append(spark.range(10**8).selectExpr("sum(hash(id))").collect()))
+    work.start()
+    begun = time.monotonic()
+    with pytest.raises(GovernanceError, match="stopped after 2 seconds"):
+        governed_rows(spark, "select sum(hash(id)) from slow_numbers", policy)
+    assert time.monotonic() - begun < 30
+    assert [r.id for r in governed_rows(spark, "select id from few_numbers order by id", Policy(tables=("few_numbers",), max_seconds=60))] == [0, 1, 2, 3, 4]
+    work.join()
+    assert len(other) == 1 and not spark.sparkContext.getJobTags()
+
+
+def test_a_failing_statement_keeps_its_own_error(spark):
+    spark.range(3).createOrReplaceTempView("few_numbers")
+    with pytest.raises(Exception, match="own words") as raised:
+        governed_rows(spark, "select raise_error('own words') from few_numbers", Policy(tables=("few_numbers",), max_seconds=60))
+    assert not isinstance(raised.value, GovernanceError)
+
+
+def test_a_temporary_view_does_not_hide_a_serving_table(spark):
+    spark.sql("create schema if not exists shadowed")
+    spark.range(2).write.mode("overwrite").saveAsTable("shadowed.mart_shadow")
+    policy = Policy(tables=("mart_shadow",), schema="shadowed", max_seconds=60)
+    spark.range(7).createOrReplaceTempView("mart_shadow")
+    try:
+        with pytest.raises(GovernanceError, match="hides"):
+            governed_sql(spark, "select count(*) from mart_shadow", policy)
+        assert governed_rows(spark, "select count(*) from shadowed.mart_shadow", policy)[0][0] == 2
+    finally:
+        spark.catalog.dropTempView("mart_shadow")
