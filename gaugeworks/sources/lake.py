@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.contracts import enforce_contract
+from gaugeworks.sources import versions
 from gaugeworks.sources.jdbc import JdbcConfig, replace_table
 
 # The layers of the lake.
@@ -65,13 +66,15 @@ def publish(
     path: str | None = None,
     schema: str = SERVING_SCHEMA,
     catalog: bool = False,
+    versioned: str | None = None,
 ) -> list[str]:
     """Copy every table of a database to the serving store.
 
-    The store is a JDBC schema, a parquet root, a database of this catalog, or several of them.
+    The store is a JDBC schema, a parquet root, a database of this catalog, a versioned root
+    (all tables switch together, once all are written), or several of them.
     """
-    if jdbc is None and path is None and not catalog:
-        raise ValueError("publish needs a JDBC store, a path or a catalog database")
+    if jdbc is None and path is None and not catalog and versioned is None:
+        raise ValueError("publish needs a JDBC store, a path, a catalog database or a versioned root")
     if catalog:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
     names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
@@ -83,6 +86,8 @@ def publish(
             write_parquet(df, f"{path}/{name}")
         if catalog:
             write_snapshot(df, f"{schema}.{name}")
+    if versioned is not None:
+        versions.commit(spark, versioned, {name: spark.table(f"{database}.{name}") for name in names})
     return names
 
 
