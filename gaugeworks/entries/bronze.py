@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.entries.registry import query
+from gaugeworks.entries.registry import ORACLES, query
 from gaugeworks.entries.twin import activity_cte
 from gaugeworks.entries.warehouse import TABLES, Warehouse, load
 from gaugeworks.functions.clean import empty_to_null, to_double, to_int
@@ -345,21 +347,76 @@ def document_scope_union(spark, sf_dir):
 )
 def extracted_entities(spark, sf_dir):
     """Row counts of all five extracts over one shared scope."""
-    s = Source(spark, sf_dir)
-    return row_counts(
-        bronze.extract_entities(
-            seeds=s.seeds,
-            targets=s.targets,
-            assays=s.assays,
-            activities=s.activities,
-            molecules=s.molecules,
-            structures=s.structures,
-            properties=s.properties,
-            docs=s.docs,
-        )
+    return row_counts(_entities(Source(spark, sf_dir)))
+
+
+def _entities(s: Source):
+    return bronze.extract_entities(
+        seeds=s.seeds,
+        targets=s.targets,
+        assays=s.assays,
+        activities=s.activities,
+        molecules=s.molecules,
+        structures=s.structures,
+        properties=s.properties,
+        docs=s.docs,
     )
 
 
+# Columns of each entity that are written alike as text by both engines.
+_CHECKED = {
+    "target": ("target_chembl_id", "target_name", "organism", "target_type"),
+    "assay": ("assay_chembl_id", "assay_type", "assay_description", "confidence_score", "target_chembl_id"),
+    "activity": (
+        "activity_id",
+        "molecule_chembl_id",
+        "target_chembl_id",
+        "assay_chembl_id",
+        "document_chembl_id",
+        "standard_type",
+        "standard_relation",
+        "standard_units",
+        "units_note",
+        "data_validity_comment",
+    ),
+    "molecule": ("molecule_chembl_id", "pref_name", "canonical_smiles", "hba", "hbd", "ro5_violations"),
+    "document": ("document_chembl_id", "pubmed_id", "journal", "year"),
+}
+
+
+def _checksum_sql() -> str:
+    bodies = {
+        "target": ORACLES["target_scope"],
+        "assay": ORACLES["assay_scope"],
+        "activity": ORACLES["activity_extract"],
+        "molecule": ORACLES["molecule_scope"],
+        "document": ORACLES["document_scope_union"],
+    }
+    parts = []
+    for name, columns in _CHECKED.items():
+        text = " || '|' || ".join(f"coalesce(cast({c} as varchar), '~')" for c in columns)
+        parts.append(
+            f"""select '{name}' as table_name, count(*) as row_count,
+              cast(sum(('0x' || substr(md5({text}), 1, 8))::bigint) as bigint) as checksum from ({bodies[name]})"""
+        )
+    return " union all ".join(parts)
+
+
+@query("extracted_checksums", _checksum_sql())
+def extracted_checksums(spark, sf_dir):
+    """Rows and a checksum of the contents of all five extracts over one shared scope."""
+    sums = []
+    for name, df in _entities(Source(spark, sf_dir)).items():
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in _CHECKED[name]])
+        lead = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        sums.append(
+            df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(lead).alias("checksum")).select(
+                F.lit(name).alias("table_name"), "row_count", "checksum"
+            )
+        )
+    return functools.reduce(lambda a, b: a.unionByName(b), sums)
+
+
 @query(
     "seed_enrichment",
     """with fetched as (
@@ -415,7 +472,8 @@ def row_counts_entry(spark, sf_dir):
        from counts join cols using (table_name)""",
 )
 def describe_tables_entry(spark, sf_dir):
-    tables = {t: load(spark, sf_dir, t) for t in TABLES}
+    """Columns as the files have them, not as they are declared here."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     return describe_tables(spark, tables).join(row_counts(tables), "table_name")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeworks.entries.registry import query
 from gaugeworks.entries.twin import CURATED, EDGES, SIMILARITY, twin
 from gaugeworks.entries.warehouse import Warehouse
-from gaugeworks.operators.graph import group_sizes, memberships, shared_members
+from gaugeworks.operators.graph import group_sizes, memberships, shared_members, similar_groups
 from gaugeworks.operators.graph import jaccard_similarity as set_similarity
 from gaugeworks.plans import relationships
 
@@ -141,18 +141,33 @@ def similarity_matrix(spark, sf_dir):
     return relationships.similarity_matrix(_warehouse(spark, sf_dir).similarity)
 
 
-@query(
-    "nation_part_similarity",
-    """with ct as (select distinct l_partkey, s_nationkey from lineitem join supplier on l_suppkey = s_suppkey),
+_SUPPLIED = """with ct as (select distinct l_partkey, s_nationkey from lineitem join supplier on l_suppkey = s_suppkey),
        size as (select s_nationkey, count(*) as n from ct group by 1)
        select a.s_nationkey as group_a, b.s_nationkey as group_b, count(*) as shared,
          round(count(*)::double / (any_value(x.n) + any_value(y.n) - count(*)), 4) as jaccard
        from ct a join ct b on a.l_partkey = b.l_partkey and a.s_nationkey < b.s_nationkey
        join size x on a.s_nationkey = x.s_nationkey join size y on b.s_nationkey = y.s_nationkey
-       group by 1, 2""",
-)
-def nation_part_similarity(spark, sf_dir):
+       group by 1, 2"""
+
+
+def _supplied(spark, sf_dir):
     w = _warehouse(spark, sf_dir)
     nation = w.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    supplied = w.table("lineitem").select("l_partkey", "l_suppkey").join(nation, "l_suppkey")
-    return set_similarity(supplied, "l_partkey", "s_nationkey")
+    return w.table("lineitem").select("l_partkey", "l_suppkey").join(nation, "l_suppkey")
+
+
+@query("nation_part_similarity", _SUPPLIED)
+def nation_part_similarity(spark, sf_dir):
+    return set_similarity(_supplied(spark, sf_dir), "l_partkey", "s_nationkey")
+
+
+SIMILAR = 0.5
+
+
+@query(
+    "similar_nations_sketched",
+    f"{_SUPPLIED} having count(*)::double / (any_value(x.n) + any_value(y.n) - count(*)) >= {SIMILAR}",
+)
+def similar_nations_sketched(spark, sf_dir):
+    """At this coefficient a pair is missed with probability 1e-6."""
+    return similar_groups(_supplied(spark, sf_dir), "l_partkey", "s_nationkey", SIMILAR)

@@ -275,7 +275,7 @@ class Warehouse:
 
     @cached_property
     def curated(self) -> DataFrame:
-        return gold.curated_mart(self.facts, self.dims)
+        return gold.curated_from_activity(self.stg_activity, self.dims)
 
     @cached_property
     def curated_ids(self) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.session import materialize
+
 # A member in at most this many groups is described by one array of its groups;
 # members in more groups go through a blocked join. Both routes are exact.
 LIGHT_DEGREE = 64
@@ -48,13 +50,15 @@ def shared_members(
     of a member with many are cut into blocks of about ``heavy_block``, as many as its
     degree asks for, and every pair of blocks is joined on its own.
     """
-    degree = F.count(F.lit(1)).over(Window.partitionBy("member"))
-    known = pairs.withColumn("degree", degree).filter("degree > 1")
+    # Degrees are summed before they are shuffled: no task holds the groups of a member with many.
+    degrees = pairs.groupBy("member").agg(F.count(F.lit(1)).alias("degree"))
+    many = degrees.filter(F.col("degree") > light_degree)
 
     patterns = (
-        known.filter(F.col("degree") <= light_degree)
+        pairs.join(many, "member", "left_anti")
         .groupBy("member")
         .agg(F.array_sort(F.collect_list("grp")).alias("groups"))
+        .filter(F.size("groups") > 1)
         .groupBy("groups")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -69,7 +73,7 @@ def shared_members(
 
     blocks = F.ceil(F.col("degree") / heavy_block).cast("int")
     heavy = (
-        known.filter(F.col("degree") > light_degree)
+        pairs.join(many, "member")
         .withColumn("own", F.pmod(F.xxhash64("grp"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     )
@@ -112,6 +116,59 @@ def jaccard_similarity(df: DataFrame, member: str, group: str, digits: int = 4)
     )
 
 
+def similar_groups(
+    df: DataFrame,
+    member: str,
+    group: str,
+    least: float,
+    bands: int = 48,
+    rows: int = 2,
+    digits: int = 4,
+) -> DataFrame:
+    """Group pairs with a Jaccard coefficient of ``least`` or more, found by set sketches.
+
+    For graphs in which a member's pairs of groups cannot be written. A group's sketch is the
+    least hash of its members under ``bands * rows`` hash functions; two groups are compared
+    when all hashes of some band agree, which happens to a pair of coefficient j with
+    probability 1 - (1 - j ** rows) ** bands. What is compared is counted exactly, from the
+    members of the smaller group, so every returned coefficient is exact.
+    """
+    if not 0 < least <= 1 or bands < 1 or rows < 1:
+        raise ValueError("least lies in (0, 1]; bands and rows are 1 or more")
+    pairs = materialize(memberships(df, member, group))
+    lowest = [F.min(F.xxhash64(F.lit(i), F.col("member"))) for i in range(bands * rows)]
+    sketch = materialize(pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("n_members"), F.array(*lowest).alias("lowest")))
+
+    keys = [F.xxhash64(F.lit(b), F.slice("lowest", b * rows + 1, rows)) for b in range(bands)]
+    banded = sketch.select("grp", "n_members", F.explode(F.array(*keys)).alias("key"))
+    left = banded.select("key", F.col("grp").alias("group_a"), F.col("n_members").alias("size_a"))
+    right = banded.select("key", F.col("grp").alias("group_b"), F.col("n_members").alias("size_b"))
+    # Sizes that differ too much rule the coefficient out.
+    sized = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least
+    met = (
+        left.join(right, "key")
+        .filter((F.col("group_a") < F.col("group_b")) & sized)
+        .select("group_a", "group_b", "size_a", "size_b")
+        .distinct()
+    )
+
+    first = F.col("size_a") <= F.col("size_b")
+    asked = met.withColumn("grp", F.when(first, F.col("group_a")).otherwise(F.col("group_b"))).withColumn(
+        "other", F.when(first, F.col("group_b")).otherwise(F.col("group_a"))
+    )
+    held = pairs.select(F.col("grp").alias("other"), "member")
+    shared = (
+        asked.join(pairs, "grp")
+        .join(held, ["other", "member"])
+        .groupBy("group_a", "group_b", "size_a", "size_b")
+        .agg(F.count(F.lit(1)).alias("shared"))
+    )
+    coefficient = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
+    return shared.filter(coefficient >= least).select(
+        "group_a", "group_b", "shared", F.round(coefficient, digits).alias("jaccard")
+    )
+
+
 def symmetrize(edges: DataFrame, a: Sequence[str], b: Sequence[str], rest: Sequence[str]) -> DataFrame:
     """Every undirected edge once per direction: ``source*`` columns, ``neighbor*`` columns."""
     names = [f"source_{i}" for i in range(len(a))], [f"neighbor_{i}" for i in range(len(b))]

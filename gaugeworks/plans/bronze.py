@@ -154,6 +154,16 @@ def extract_assays(scope: DataFrame) -> DataFrame:
     )
 
 
+def scoped_activities(activities: DataFrame, scope: DataFrame) -> DataFrame:
+    """The activities of in-scope assays with the assay's and the target's id: the one join on the scope key."""
+    side = scope.select(
+        F.col("assay_id").alias("_assay"),
+        F.col("chembl_id").alias("assay_chembl_id"),
+        "target_chembl_id",
+    )
+    return activities.join(side, activities["assay_id"] == side["_assay"]).drop("_assay")
+
+
 def extract_activities(
     activities: DataFrame,
     scope: DataFrame,
@@ -161,21 +171,21 @@ def extract_activities(
     docs: DataFrame,
     scale: UnitScale = NANOMOLAR,
 ) -> DataFrame:
-    side = scope.select(
-        F.col("assay_id").alias("_assay"),
-        F.col("chembl_id").alias("assay_chembl_id"),
-        "target_chembl_id",
-    )
+    return typed_activities(scoped_activities(activities, scope), molecules, docs, scale)
+
+
+def typed_activities(
+    scoped: DataFrame, molecules: DataFrame, docs: DataFrame, scale: UnitScale = NANOMOLAR
+) -> DataFrame:
+    """In-scope activities with the ids of their molecule and document, typed and in one unit."""
     mols = molecules.select(
         F.col("molregno").alias("_mol"), F.col("chembl_id").alias("molecule_chembl_id")
     )
     papers = docs.select(
         F.col("doc_id").alias("_doc"), F.col("chembl_id").alias("document_chembl_id")
     )
-    joined = (
-        activities.join(side, activities["assay_id"] == side["_assay"])
-        .join(mols, activities["molregno"] == mols["_mol"])
-        .join(papers, activities["doc_id"] == papers["_doc"], "left")
+    joined = scoped.join(mols, scoped["molregno"] == mols["_mol"]).join(
+        papers, scoped["doc_id"] == papers["_doc"], "left"
     )
     typed = joined.select(
         "activity_id",
@@ -203,8 +213,15 @@ def extract_molecules(
     activities: DataFrame,
     scope: DataFrame,
 ) -> DataFrame:
-    """Molecules seen in in-scope activities. Scoped before the joins, so they stay small."""
+    """Molecules seen in in-scope activities."""
     tested = only_seen(activities.select("assay_id", "molregno"), "assay_id", scope, "assay_id")
+    return tested_molecules(molecules, structures, properties, tested)
+
+
+def tested_molecules(
+    molecules: DataFrame, structures: DataFrame, properties: DataFrame, tested: DataFrame
+) -> DataFrame:
+    """Molecules that ``tested`` rows name. Scoped before the joins, so they stay small."""
     wanted = only_seen(molecules, "molregno", tested, "molregno")
     shapes = structures.select(F.col("molregno").alias("_s"), "canonical_smiles")
     props = properties.select(
@@ -235,7 +252,12 @@ def extract_molecules(
 def extract_documents(docs: DataFrame, activities: DataFrame, scope: DataFrame) -> DataFrame:
     """Documents named by an in-scope assay or by one of its activities."""
     of_activities = only_seen(activities.select("assay_id", "doc_id"), "assay_id", scope, "assay_id")
-    ids = scope.select("doc_id").union(of_activities.select("doc_id"))
+    return named_documents(docs, of_activities, scope)
+
+
+def named_documents(docs: DataFrame, scoped: DataFrame, scope: DataFrame) -> DataFrame:
+    """Documents that an assay of the scope or an in-scope activity names."""
+    ids = scope.select("doc_id").union(scoped.select("doc_id"))
     return (
         only_seen(docs, "doc_id", ids, "doc_id")
         .select(
@@ -259,12 +281,18 @@ def extract_entities(
     properties: DataFrame,
     docs: DataFrame,
 ) -> dict[str, DataFrame]:
-    """All five bronze entities. The scope is written once and read by every extract."""
+    """All five bronze entities.
+
+    The scope is written once, and so are its activities: they are joined on the scope key
+    once, and the extracts that depend on them read the one column they need of what is
+    written, without that join and with its real size known to the planner.
+    """
     scope = materialize(scope_assays(assays, targets, seeds))
+    scoped = materialize(scoped_activities(activities, scope))
     return {
         "target": extract_targets(targets, seeds),
         "assay": extract_assays(scope),
-        "activity": extract_activities(activities, scope, molecules, docs),
-        "molecule": extract_molecules(molecules, structures, properties, activities, scope),
-        "document": extract_documents(docs, activities, scope),
+        "activity": typed_activities(scoped, molecules, docs),
+        "molecule": tested_molecules(molecules, structures, properties, scoped),
+        "document": named_documents(docs, scoped, scope),
     }
