@@ -102,6 +102,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *counts,
         F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
         secrets.written(both).alias("spans"),
+        F.size(F.filter("told", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("told", lambda s: ~s["live"])).cast("long").alias("n_copied"),
     )
 
 

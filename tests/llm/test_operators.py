@@ -107,7 +107,7 @@ def test_secrets(spark):
     texts = [f"x password: s3cretvalue {live} {shared}", f"é token=abc AKIA{'A1' * 9} {shared}", None, "", f"{'0a' * 14} {shared}"]
     got = {r.doc_id: r for r in secrets.find_secrets(table(spark, texts, ["a", "b", "c"])).collect()}
     spans = {i: [(s["kind"], s["start"], s["end"]) for s in [*r.base, *r.added]] for i, r in got.items()}
-    assert spans[0] == [("assign", 2, 23), ("live", 24, 24 + len(live))]
+    assert spans[0] == [("assign", 2, 23), ("key", 24, 24 + len(live))]
     assert spans[1] == [("access", 12, 34)]
     assert spans[2] == spans[3] == [] and spans[4] == [("hex", 0, 28)]
 
