@@ -291,7 +291,7 @@ def taken_words(mix: Mix) -> DataFrame:
 def mixed(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix itself: documents with all their columns, repeated as drawn, shard by shard in a permuted order.
 
-    Each shard is one partition.
+    Each shard is one partition, placed by its number.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
     dealt = _dealt(rows, mix.plan, "doc_id", mix.seed)
@@ -302,7 +302,7 @@ def mixed(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", source: str = "sour
     place = F.xxhash64(F.lit(mix.seed), F.lit("place"), F.col("pass"), F.col("h"))
     return (
         drawn.withColumn("place", place)
-        .repartition(mix.shards, "shard")
+        .repartitionById(mix.shards, F.col("shard").cast("int"))
         .sortWithinPartitions("shard", "place", "doc_id", "pass")
         .select("row.*")
     )

@@ -201,14 +201,15 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
 def pack(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES, seed: int = 5) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, ...), which are read twice.
 
-    Full windows are sequences of their own; the others are dealt by a hash of their row into
-    groups. A sequence's pieces lie gapless from offset 0. No pieces, no sequences.
+    Full windows are sequences of their own; the others are dealt by a hash of their row and its
+    place into groups, so equal rows and rows without an id spread like any others. A sequence's
+    pieces lie gapless from offset 0. No pieces, no sequences.
     """
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
     columns = [c for c in pieces.columns if c != "ids"]
     dealt = pieces.select(*columns).withColumn(
-        "_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)).cast("long")
+        "_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name != "_group")
 
