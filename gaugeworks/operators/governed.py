@@ -130,12 +130,16 @@ def _class_names(expression) -> set[str]:
 
 
 def _refuse_shadow(spark: SparkSession, name: str, policy: Policy) -> None:
-    """Raises where a bare name would read a temporary view instead of the serving table of that name."""
+    """Raises where a bare name would read something else than the serving table of that name.
+
+    A temporary view that is that table, as ``lake.bare_views`` makes them, hides nothing.
+    """
+    served = f"{policy.schema}.{name}"
     try:
-        hidden = spark.catalog.getTable(name).isTemporary and spark.catalog.tableExists(f"{policy.schema}.{name}")
+        hidden = spark.catalog.getTable(name).isTemporary and spark.catalog.tableExists(served)
     except AnalysisException:
         return
-    if hidden:
+    if hidden and not spark.table(name).sameSemantics(spark.table(served)):
         raise GovernanceError(f"a temporary view hides {name}; write {policy.schema}.{name}")
 
 
