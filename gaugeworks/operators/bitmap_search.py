@@ -1,26 +1,28 @@
 """Boolean search on bitmaps: one set of bits per term, one plan for a whole table of requests.
 
-Items are numbered inside buckets of some 16,000. For every term a bucket holds the places of the
-items that have it: as a bitmap where they are many, as a list where they are few. A request is a
-few clauses, each a set of terms of which one must match. Clauses become bitmaps by *or*, requests
-by *and* over their required clauses and by counting over their optional ones. Places follow the
-order of the results, so a request takes its first places of every bucket and no others; only these
-are looked up.
+Items are numbered in the order of the results and cut into buckets of some 16,000. For every term a
+bucket holds the places of the items that have it: as a bitmap where they are many, as a list where
+they are few. A request is a few clauses, each a set of terms of which one must match. Requests with
+the same clauses, bounds and limit are one question, and clauses with the same terms are one set of
+bits, so bits grow with the items and not with the requests. A question's bits are combined inside a
+bucket: *and* over its required clauses, counting over its optional ones. As (bucket, place) is the
+order of the results, a question's best places are known before any item is looked up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import tokens
 from gaugeworks.operators.dedup import top_per_group
-from gaugeworks.session import materialize
+from gaugeworks.session import materialize, remove, written
 
 # Fixed value: the places one bitmap of Spark's functions covers.
 BITMAP_PLACES = 32_768
@@ -30,36 +32,37 @@ BUCKET_ITEMS = BITMAP_PLACES // 2
 # More places than this and a bitmap is the smaller form.
 LIST_PLACES = 1024
 
-# Every item has this term in this field; a request without clauses asks for it.
-ALL = ""
-
 MUST, SHOULD = "must", "should"
 
 
-# Requests that one task answers for a bucket at a time.
+# Questions that one task answers for a bucket at a time.
 REQUEST_BLOCK = 1024
 
 
 @dataclass(frozen=True)
 class BitmapIndex:
-    """``items`` (bucket, place, and the items' columns), ``bits`` and ``lists`` of terms, and the order of places."""
+    """``items`` (bucket, place, and the items' columns), in the order of results, and ``bits`` and ``lists`` of terms."""
 
     items: DataFrame
     bits: DataFrame
     lists: DataFrame
-    order: Sequence[Column]
 
 
 def numbered(items: DataFrame, item_id: str, buckets: int, order: Sequence[Column]) -> DataFrame:
-    """Adds (bucket, place): places count up from 0 in each bucket, in the given order.
+    """Adds (bucket, place), ascending in the given order, the id last; places count up from 0 in each bucket.
 
-    Ids should be unique. A bucket with more than a bitmap's places goes on in a further bucket.
+    A range with more items than a bitmap has places goes on in the next buckets.
     """
-    bucket = F.pmod(F.xxhash64(item_id), F.lit(buckets))
-    within = Window.partitionBy("bucket").orderBy(*order)
-    counted = items.withColumn("bucket", bucket).withColumn("place", (F.row_number().over(within) - 1).cast("long"))
-    further = (F.col("place") / BITMAP_PLACES).cast("long") * buckets
-    return counted.withColumn("bucket", F.col("bucket") + further).withColumn("place", F.col("place") % BITMAP_PLACES)
+    ranges = [*order, F.col(item_id).asc()]
+    # the upper bits are the range, the lower ones count its rows
+    number = F.monotonically_increasing_id()
+    return (
+        items.repartitionByRange(buckets, *ranges)
+        .sortWithinPartitions(*ranges)
+        .withColumn("_number", number)
+        .withColumns({"bucket": F.floor(F.col("_number") / BITMAP_PLACES), "place": F.col("_number") % BITMAP_PLACES})
+        .drop("_number")
+    )
 
 
 def write_bitmaps(
@@ -73,16 +76,20 @@ def write_bitmaps(
     buckets, and no row is longer than a bucket. NULL texts and values have no terms.
     """
     spark = items.sparkSession
-    buckets = max(1, -(-items.count() // BUCKET_ITEMS))
-    numbered(items, item_id, buckets, order).repartition(buckets, "bucket").write.mode("overwrite").parquet(f"{path}/items")
+    # written, as they are counted, looked at for the ranges, and sorted
+    plain, scratch = written(items)
+    buckets = max(1, -(-plain.count() // BUCKET_ITEMS))
+    numbered(plain, item_id, buckets, order).write.mode("overwrite").parquet(f"{path}/items")
+    remove(spark, scratch)
     stored = spark.read.parquet(f"{path}/items")
     none = F.array().cast("array<string>")
     held = [F.struct(F.lit(t).alias("field"), F.coalesce(F.array_distinct(tokens(t)), none).alias("terms")) for t in texts]
     held += [
         F.struct(F.lit(k).alias("field"), F.array_compact(F.array(F.col(k).cast("string"))).alias("terms")) for k in keywords
     ]
-    held.append(F.struct(F.lit(ALL).alias("field"), F.array(F.lit(ALL)).alias("terms")))
-    terms = stored.select("bucket", "place", F.inline(F.array(*held))).select("field", F.explode("terms").alias("term"), "bucket", "place")
+    terms = stored.select("bucket", "place", F.inline(F.array(*held))).select(
+        "field", F.explode("terms").alias("term"), "bucket", F.col("place").cast("smallint").alias("place")
+    )
     # the term leads, as sorts compare the first key's prefix before anything else
     gathered = materialize(terms.groupBy("term", "bucket", "field").agg(F.collect_list("place").alias("places")))
     few = F.size("places") <= LIST_PLACES
@@ -91,59 +98,108 @@ def write_bitmaps(
         gathered.filter(~few)
         .select("field", "term", "bucket", F.explode("places").alias("place"))
         .groupBy("field", "term", "bucket")
-        .agg(F.bitmap_construct_agg("place").alias("bits"))
+        .agg(F.bitmap_construct_agg(F.col("place").cast("long")).alias("bits"))
         .write.mode("overwrite")
         .parquet(f"{path}/bits")
     )
-    return read_bitmaps(spark, path, order)
+    return read_bitmaps(spark, path)
 
 
-def read_bitmaps(spark: SparkSession, path: str, order: Sequence[Column]) -> BitmapIndex:
-    """The index under ``path``, with the order it was written in."""
-    return BitmapIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("items", "bits", "lists")], order)
+def read_bitmaps(spark: SparkSession, path: str) -> BitmapIndex:
+    return BitmapIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("items", "bits", "lists")])
 
 
 def clause_bits(index: BitmapIndex, clauses: DataFrame) -> DataFrame:
-    """(request, clause, occurs, bucket, bits) of ``clauses`` (request, clause, occurs, field, term).
+    """(clause, bucket, bits) of ``clauses`` (clause, field, term).
 
     A clause's bits are the union over its terms; buckets without a match have no row.
     """
-    keys = ["request", "clause", "occurs", "bucket"]
+    keys = ["clause", "bucket"]
     wide = clauses.join(index.bits, ["field", "term"]).select(*keys, "bits")
     narrow = (
         clauses.join(index.lists, ["field", "term"])
-        .select(*keys, F.explode("places").alias("place"))
+        .select(*keys, F.explode(F.col("places").cast("array<bigint>")).alias("place"))
         .groupBy(*keys)
         .agg(F.bitmap_construct_agg("place").alias("bits"))
     )
     return wide.unionByName(narrow).groupBy(*keys).agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
-def _places(required: bytes | None, optional: list[bytes], least: int) -> np.ndarray:
-    """The places that have all required bits and enough of the optional ones, ascending."""
-    found = np.ones(BITMAP_PLACES, dtype=bool)
-    if required is not None:
-        found &= np.unpackbits(np.frombuffer(required, np.uint8), bitorder="little").astype(bool)
-    if least > 0:
-        met = np.zeros(BITMAP_PLACES, dtype=np.int32)
-        for bits in optional:
-            met += np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
-        found &= met >= least
-    return np.flatnonzero(found)
+def told_apart(df: DataFrame, number: str) -> DataFrame:
+    """The distinct rows of ``df`` (one column), numbered, as a written table."""
+    return materialize(df.distinct().withColumn(number, F.monotonically_increasing_id()))
+
+
+@dataclass(frozen=True)
+class Questions:
+    """What requests have in common.
+
+    ``asked`` (request, question); ``questions`` (question, required, optional, least, settings): the
+    two are clause numbers; ``clauses`` (clause, field, term).
+    """
+
+    asked: DataFrame
+    questions: DataFrame
+    clauses: DataFrame
+
+
+def questions_of(requests: DataFrame, clauses: DataFrame, settings: Sequence[str]) -> Questions:
+    """Equal requests become one question, clauses with equal terms one clause."""
+    terms = F.to_json(F.sort_array(F.collect_set(F.struct("field", "term"))))
+    stated = materialize(clauses.groupBy("request", "clause", "occurs").agg(terms.alias("terms")))
+    numbers = told_apart(stated.select("terms"), "number")
+    held = stated.join(numbers, "terms").groupBy("request").agg(
+        # the same terms may be asked for twice, and then count twice
+        *[F.sort_array(F.collect_list(F.when(F.col("occurs") == o, F.col("number")))).alias(n) for o, n in ((MUST, "required"), (SHOULD, "optional"))]
+    )
+    none = F.array().cast("array<bigint>")
+    asked = requests.select("request", F.coalesce("least_should", F.lit(0)).cast("int").alias("least"), *settings).join(held, "request", "left")
+    parts = [F.coalesce("required", none).alias("required"), F.coalesce("optional", none).alias("optional"), "least", *settings]
+    asked = materialize(asked.select("request", F.struct(*parts).alias("parts")).withColumn("_same", F.to_json("parts")))
+    named = told_apart(asked.select("_same"), "question")
+    spelled = asked.schema["parts"].dataType.simpleString()
+    entries = F.from_json("terms", "array<struct<field:string,term:string>>")
+    return Questions(
+        asked.join(named, "_same").select("request", "question"),
+        named.select("question", F.from_json("_same", spelled).alias("parts")).select("question", "parts.*"),
+        numbers.select(F.col("number").alias("clause"), F.inline(entries)),
+    )
+
+
+def _bools(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
 
 
 def _answer(at_most: Mapping[str, str], at_least: Mapping[str, str], limit: str | None):
-    """The places of a bucket that each request takes: (requests of the bucket, its numbers) -> (request, bucket, place)."""
+    """The places of a bucket that each question takes: (its questions and clauses, its numbers) -> (question, bucket, place)."""
 
     def answer(asked: pa.Table, numbers: pa.Table) -> pa.Table:
         place = numbers.column("place").to_numpy()
+        present = np.zeros(BITMAP_PLACES, dtype=bool)
+        present[place] = True
         values = {}
         for name in {*at_most, *at_least}:
             values[name] = np.full(BITMAP_PLACES, np.nan)
             values[name][place] = numbers.column(name).to_pandas().to_numpy(dtype=np.float64, na_value=np.nan)
+        is_clause = pc.is_valid(asked.column("clause"))
+        held = asked.filter(is_clause)
+        bits = {c: _bools(b) for c, b in zip(held.column("clause").to_pylist(), held.column("bits").to_pylist(), strict=True)}
+        asked = asked.filter(pc.invert(is_clause)).drop_columns(["clause", "bits"])
+        none = np.zeros(0, dtype=np.int64)
         rows, taken = [], []
         for n, row in enumerate(asked.to_pylist()):
-            places = _places(row["required"], row["optional"], row["least"])
+            if any(c not in bits for c in row["required"]):
+                continue
+            found = present
+            for c in row["required"]:
+                found = found & bits[c]
+            if row["least"] > 0:
+                met = np.zeros(BITMAP_PLACES, dtype=np.int32)
+                for c in row["optional"]:
+                    if c in bits:
+                        met += bits[c]
+                found = found & (met >= row["least"])
+            places = np.flatnonzero(found)
             for bounds, within in ((at_most, np.less_equal), (at_least, np.greater_equal)):
                 for name, bound in bounds.items():
                     if row[bound] is not None:
@@ -152,8 +208,7 @@ def _answer(at_most: Mapping[str, str], at_least: Mapping[str, str], limit: str
                 places = places[: row[limit]]
             rows.append(np.full(len(places), n, dtype=np.int64))
             taken.append(places)
-        none = np.zeros(0, dtype=np.int64)
-        source = asked.select(["request", "bucket"]).take(pa.array(np.concatenate([none, *rows])))
+        source = asked.select(["question", "bucket"]).take(pa.array(np.concatenate([none, *rows])))
         return source.append_column("place", pa.array(np.concatenate([none, *taken])))
 
     return answer
@@ -161,62 +216,33 @@ def _answer(at_most: Mapping[str, str], at_least: Mapping[str, str], limit: str
 
 def matches(
     index: BitmapIndex,
-    requests: DataFrame,
-    clauses: DataFrame,
+    asked: Questions,
     at_most: Mapping[str, str] | None = None,
     at_least: Mapping[str, str] | None = None,
     limit: str | None = None,
 ) -> DataFrame:
-    """(request, bucket, place) of the items each request asks for, at most ``limit`` of each bucket.
+    """(question, bucket, place) of the items each question asks for, at most ``limit`` of each bucket.
 
-    ``requests`` has request and least_should: how many optional clauses must match at least (NULL or
-    0: none). A request without a required clause, and with no optional one it insists on, asks for
-    all items. ``at_most`` and ``at_least`` name a column of ``requests`` for a number of the items;
-    NULL sets no bound, and an item without the number is within none. ``limit`` names a column, too.
+    A question without a required clause, and with no optional one it insists on, asks for all items.
+    ``at_most`` and ``at_least`` name a column of the questions for a number of the items; NULL sets no
+    bound, and an item without the number is within none. ``limit`` names a column, too.
     """
-    kind = requests.schema["request"].dataType.simpleString()
     at_most, at_least = dict(at_most or {}), dict(at_least or {})
-    settings = sorted({*at_most.values(), *at_least.values(), *([limit] if limit else [])})
-    told = clauses.groupBy("request").agg(
-        F.count_distinct(F.when(F.col("occurs") == MUST, F.col("clause"))).alias("musts")
-    )
-    asked = materialize(
-        requests.select("request", F.coalesce("least_should", F.lit(0)).cast("int").alias("least"), *settings)
-        .join(told, "request", "left")
-        .withColumn("musts", F.coalesce("musts", F.lit(0)))
-    )
-    open_ended = asked.filter("musts = 0 and least <= 0").select(
-        "request", F.lit(-1).alias("clause"), F.lit(MUST).alias("occurs"), F.lit(ALL).alias("field"), F.lit(ALL).alias("term")
-    )
-    wanted = clauses.select("request", F.col("clause").cast("int").alias("clause"), "occurs", "field", "term").distinct()
-    found = clause_bits(index, wanted.unionByName(open_ended))
-    required, optional = F.col("occurs") == MUST, F.col("occurs") == SHOULD
-    blocks = max(1, -(-asked.count() // REQUEST_BLOCK))
-    per_bucket = (
-        found.groupBy("request", "bucket")
-        .agg(
-            F.bitmap_and_agg(F.when(required, F.col("bits"))).alias("required"),
-            F.count(F.when(required, 1)).alias("matched"),
-            F.collect_list(F.when(optional, F.col("bits"))).alias("optional"),
-        )
-        .join(asked, "request")
-        .filter((F.col("matched") >= F.col("musts")) & (F.size("optional") >= F.col("least")))
-        .select(
-            "request",
-            "bucket",
-            F.when((F.col("musts") > 0) | (F.col("least") <= 0), F.col("required")).alias("required"),
-            "optional",
-            "least",
-            *settings,
-            F.pmod(F.xxhash64("request"), F.lit(blocks)).alias("block"),
-        )
-    )
+    questions = asked.questions
+    blocks = max(1, -(-questions.count() // REQUEST_BLOCK))
+    placed = questions.withColumn("block", F.pmod(F.xxhash64("question"), F.lit(blocks)))
+    used = placed.select("block", F.explode(F.array_distinct(F.concat("required", "optional"))).alias("clause")).distinct()
+    bits = clause_bits(index, asked.clauses).join(used, "clause")
+    # every question goes to every bucket, as a few numbers; bits go once to a bucket and block
+    buckets = materialize(index.items.select("bucket").distinct())
+    everywhere = placed.crossJoin(buckets)
+    told = everywhere.unionByName(bits, allowMissingColumns=True)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
     numbers = index.items.select("bucket", "place", *sorted({*at_most, *at_least}), every)
     return (
-        per_bucket.groupBy("bucket", "block")
+        told.groupBy("bucket", "block")
         .cogroup(numbers.groupBy("bucket", "block"))
-        .applyInArrow(_answer(at_most, at_least, limit), f"request {kind}, bucket long, place long")
+        .applyInArrow(_answer(at_most, at_least, limit), "question long, bucket long, place long")
     )
 
 
@@ -234,16 +260,23 @@ def search_batch(
     the order of the index. A request without one is answered in full, without ranks.
     """
     columns = [c for c in index.items.columns if c not in ("bucket", "place")]
-    places = matches(index, requests, clauses, at_most, at_least, limit)
+    settings = sorted({*(at_most or {}).values(), *(at_least or {}).values(), *([limit] if limit else [])})
+    asked = questions_of(requests, clauses, settings)
+    places = matches(index, asked, at_most, at_least, limit)
+    unranked = F.lit(None).cast("int").alias("rank")
     if limit is None:
-        found = places.join(index.items, ["bucket", "place"])
-        return found.withColumn("rank", F.lit(None).cast("int")).select("request", "rank", *columns)
+        return places.join(index.items, ["bucket", "place"]).join(asked.asked, "question").select("request", unranked, *columns)
     most = requests.agg(F.max(limit)).first()[0] or 0
-    wish = requests.select("request", F.col(limit).alias("_wish"))
-    found = materialize(places).join(wish, "request").join(index.items, ["bucket", "place"])
-    ranked = top_per_group(found.filter("_wish is not null"), ["request"], list(index.order), most).filter("rank <= _wish")
-    in_full = found.filter("_wish is null").withColumn("rank", F.lit(None).cast("int"))
-    return ranked.select("request", "rank", *columns).unionByName(in_full.select("request", "rank", *columns))
+    found = places.join(asked.questions.select("question", F.col(limit).alias("_wish")), "question")
+    unlimited = asked.questions.filter(F.col(limit).isNull()).limit(1).count() > 0
+    if unlimited:
+        found = materialize(found)
+    best = top_per_group(found.filter("_wish is not null"), ["question"], [F.col("bucket").asc(), F.col("place").asc()], most)
+    ranked = best.filter("rank <= _wish").select("question", "rank", "bucket", "place")
+    chosen = ranked
+    if unlimited:
+        chosen = ranked.unionByName(found.filter("_wish is null").select("question", unranked, "bucket", "place"))
+    return chosen.join(index.items, ["bucket", "place"]).join(asked.asked, "question").select("request", "rank", *columns)
 
 
 def clause_of(requests: DataFrame, clause: int, occurs: str, text: str, fields: Sequence[str]) -> DataFrame:

@@ -111,3 +111,34 @@ def test_empty_items_and_requests(spark, tmp_path):
     none = spark.createDataFrame([], REQUESTS)
     clauses = bitmap_search.clause_of(none, 0, MUST, "name", ["name"])
     assert bitmap_search.search_batch(index, none, clauses, limit="hits").count() == 0
+
+
+def test_equal_requests_share_their_bits(spark, tmp_path, monkeypatch):
+    """Eight hundred requests of eight kinds: as many questions and rows of bits as for eight."""
+    monkeypatch.setattr(bitmap_search, "BUCKET_ITEMS", 50)
+    index = bitmap_search.write_bitmaps(spark.createDataFrame(made_items(300), ITEMS), "id", ["name"], ["kind"], str(tmp_path), order())
+    requests = spark.range(800).select(
+        F.col("id").alias("request"), F.lit(0).alias("least_should"),
+        F.when(F.col("id") % 2 == 0, "alpha beta").otherwise("gamma").alias("name"),
+        F.when(F.col("id") % 4 < 2, "K").alias("kind"), (F.col("id") % 8).cast("int").alias("hits"),
+    )
+    clauses = bitmap_search.clause_of(requests, 0, MUST, "name", ["name"]).unionByName(
+        bitmap_search.keyword(requests, 1, MUST, F.col("kind"), "kind")
+    )
+    shared = bitmap_search.questions_of(requests, clauses, ["hits"])
+    assert shared.questions.count() == 8
+    assert bitmap_search.clause_bits(index, shared.clauses).count() <= 3 * index.items.select("bucket").distinct().count()
+    hits = bitmap_search.search_batch(index, requests.select("request", "least_should", "hits"), clauses, limit="hits")
+    found = {}
+    for r in hits.collect():
+        found.setdefault(r["request"], []).append((r["rank"], r["id"]))
+    for request in range(800):
+        assert sorted(found.get(request, [])) == sorted(found.get(request % 8, []))
+    assert len(found[7]) == 7
+
+
+def test_buckets_follow_the_order_of_results(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bitmap_search, "BUCKET_ITEMS", 50)
+    index = bitmap_search.write_bitmaps(spark.createDataFrame(made_items(300), ITEMS), "id", ["name"], ["kind"], str(tmp_path), order())
+    by_place = [r["id"] for r in index.items.orderBy("bucket", "place").collect()]
+    assert by_place == [r["id"] for r in index.items.orderBy(*order()).collect()]
