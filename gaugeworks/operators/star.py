@@ -13,12 +13,16 @@ from gaugeworks.functions.keys import surrogate_key
 
 @dataclass(frozen=True)
 class Dimension:
-    """A dimension to attach: its table, key column, natural key, carried attributes."""
+    """A dimension to attach: its table, key column, natural key, carried attributes.
+
+    ``hashed`` states that the key is the surrogate key of the natural one, as ``build_dimension`` makes it.
+    """
 
     table: DataFrame
     key: str
     natural: str
     carry: tuple[str, ...] = ()
+    hashed: bool = False
 
 
 def build_dimension(df: DataFrame, key: str, natural: str, attributes: Sequence[str]) -> DataFrame:
@@ -29,13 +33,19 @@ def attach_keys(facts: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:
     """Left-join every dimension on its natural key; unknown members keep a NULL key.
 
     No join is hinted: small dimensions are broadcast on measured size, large
-    ones go through a sort-merge join whose hot keys the adaptive planner splits.
+    ones go through a sort-merge join whose hot keys the adaptive planner splits. A hashed key
+    is made after the last join: it is long and does not compress, so no shuffle should carry it.
     """
-    out = facts
-    for dim in dimensions:
-        side = dim.table.select(F.col(dim.natural).alias("_natural"), dim.key, *dim.carry)
-        out = out.join(side, out[dim.natural] == side["_natural"], "left").drop("_natural")
-    return out
+    out, late, found = facts, {}, []
+    for number, dim in enumerate(dimensions):
+        natural = f"_natural_{number}"
+        found.append(natural)
+        key = () if dim.hashed else (dim.key,)
+        side = dim.table.select(F.col(dim.natural).alias(natural), *key, *dim.carry)
+        out = out.join(side, out[dim.natural] == side[natural], "left")
+        if dim.hashed:
+            late[dim.key] = F.when(F.col(natural).isNotNull(), surrogate_key(natural))
+    return out.withColumns(late).drop(*found)
 
 
 def attach_attributes(df: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:

@@ -119,10 +119,10 @@ FACT_COLUMNS = (
 def attach(activity: DataFrame, dims: Dimensions, names: Sequence[str]) -> DataFrame:
     """The measurements with the keys of the named dimensions (and the assay's confidence)."""
     known = {
-        "assay": Dimension(dims.assay, "assay_key", "assay_chembl_id", ("confidence_score",)),
-        "target": Dimension(dims.target, "target_key", "target_chembl_id"),
-        "compound": Dimension(dims.compound, "compound_key", "molecule_chembl_id"),
-        "document": Dimension(dims.document, "document_key", "document_chembl_id"),
+        "assay": Dimension(dims.assay, "assay_key", "assay_chembl_id", ("confidence_score",), hashed=True),
+        "target": Dimension(dims.target, "target_key", "target_chembl_id", hashed=True),
+        "compound": Dimension(dims.compound, "compound_key", "molecule_chembl_id", hashed=True),
+        "document": Dimension(dims.document, "document_key", "document_chembl_id", hashed=True),
     }
     return attach_keys(activity, [known[n] for n in names])
 

@@ -96,6 +96,21 @@ def test_unknown_members_keep_null_keys(spark, rows):
     assert {r["id"]: r["part_key"] is None for r in keyed.collect()} == {1: False, 2: True, 3: True}
 
 
+def test_hashed_keys_are_made_after_the_joins(spark):
+    """No join carries a surrogate key; unknown members keep a NULL key."""
+    facts = spark.createDataFrame([(1, 10, 7), (2, 99, 7), (3, None, 8)], "id int, part int, doc int")
+    parts = star.build_dimension(spark.createDataFrame([(10,), (11,)], "part int"), "part_key", "part", [])
+    docs = star.build_dimension(spark.createDataFrame([(7,)], "doc int"), "doc_key", "doc", [])
+
+    def attached(hashed):
+        dims = [star.Dimension(parts, "part_key", "part", hashed=hashed), star.Dimension(docs, "doc_key", "doc", hashed=hashed)]
+        return star.attach_keys(facts, dims).select("id", "part", "doc", "part_key", "doc_key")
+
+    assert sorted(attached(True).collect(), key=str) == sorted(attached(False).collect(), key=str)
+    plan = attached(True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan.split("Join")[0] and "md5" not in plan.split("Join", 1)[1]
+
+
 def brute_pairs(pairs):
     by_member = {}
     for member, group in set(pairs):
