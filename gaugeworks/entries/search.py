@@ -445,7 +445,8 @@ def buckets_sql(column: str) -> str:
 )
 def embed_documents(spark, sf_dir):
     docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    vectors = hashed_embedding(docs, F.col("text")).select("doc_id", "embedding")
+    # the vector takes the text's place, so no text goes through Python
+    vectors = hashed_embedding(docs.withColumnRenamed("text", "embedding"), F.col("embedding"))
     weights = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "w"))
     return weights.filter("w > 0").select("doc_id", "dim", F.round(F.col("w").cast("double"), 5).alias("weight"))
 

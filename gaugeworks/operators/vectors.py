@@ -18,6 +18,8 @@ from gaugeworks.functions.text import tokens
 from gaugeworks.operators.topk import QUERY_BLOCK, scored_topk
 
 EMBEDDING_DIM = 384
+# Texts that are counted as one matrix.
+MATRIX_ROWS = 256
 
 # texts -> matrix of shape (texts, dim); built once per task by an encoder factory.
 Encoder = Callable[[list[str]], np.ndarray]
@@ -45,20 +47,12 @@ def token_buckets(text: Column | str, dim: int = EMBEDDING_DIM) -> Column:
     )
 
 
-def hashed_embedding(
-    df: DataFrame, text: Column, dim: int = EMBEDDING_DIM, out: str = "embedding"
-) -> DataFrame:
-    """Adds an L2-normalised bag-of-tokens vector.
-
-    Tokens and buckets are computed in the JVM; each Arrow batch is counted
-    and normalised as one matrix.
-    """
-    staged = df.withColumn(out, token_buckets(text, dim))
-    schema = df.withColumn(out, F.lit(None).cast("array<float>")).schema
-
-    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(out)
+def bag_vectors(batches: Iterator[pa.RecordBatch], out: str, dim: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the buckets in column ``out`` replaced by unit vectors of their counts, ``MATRIX_ROWS`` rows each."""
+    for whole in batches:
+        at = whole.schema.get_field_index(out)
+        for start in range(0, whole.num_rows, MATRIX_ROWS):
+            batch = whole.slice(start, MATRIX_ROWS)
             buckets = batch.column(at)
             rows = pc.list_parent_indices(buckets).to_numpy(zero_copy_only=False)
             flat = buckets.flatten().to_numpy(zero_copy_only=False)
@@ -70,7 +64,19 @@ def hashed_embedding(
             columns = [lists if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return staged.mapInArrow(normalise, schema)
+
+def hashed_embedding(
+    df: DataFrame, text: Column, dim: int = EMBEDDING_DIM, out: str = "embedding"
+) -> DataFrame:
+    """Adds an L2-normalised bag-of-tokens vector.
+
+    Tokens and buckets are computed in the JVM; ``MATRIX_ROWS`` texts of an Arrow batch are counted
+    and normalised as one matrix. Other columns pass through Python, so leave out what is not needed.
+    """
+    staged = df.withColumn(out, token_buckets(text, dim))
+    schema = df.withColumn(out, F.lit(None).cast("array<float>")).schema
+
+    return staged.mapInArrow(lambda batches: bag_vectors(batches, out, dim), schema)
 
 
 def encoded_embedding(

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,3 +409,17 @@ def test_glossary(spark, name, term):
     assert (row["available"] is None) == (term is not None)
     if term:
         assert row["definition"] and row["direction"]
+
+
+def test_embedding_counts_few_texts_at_a_time(monkeypatch):
+    """However many texts an Arrow batch holds, a matrix has ``MATRIX_ROWS`` rows at most; vectors are the same."""
+    buckets = [None if i % 9 == 0 else [i % 5, 1, (3 * i) % 8] * (i % 4) for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(buckets, pa.list_(pa.int32()))], ["id", "e"])
+    at_once = [row for b in vectors.bag_vectors([batch], "e", 8) for row in b.to_pylist()]
+    monkeypatch.setattr(vectors, "MATRIX_ROWS", 4)
+    parts = list(vectors.bag_vectors([batch], "e", 8))
+    assert max(b.num_rows for b in parts) == 4
+    assert [row for b in parts for row in b.to_pylist()] == at_once
+    for row, have in zip(at_once, buckets):
+        counts = np.bincount(have or [], minlength=8)
+        assert row["e"] == pytest.approx(list(counts / (np.linalg.norm(counts) or 1)), abs=1e-6)
