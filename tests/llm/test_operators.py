@@ -304,3 +304,20 @@ def test_urls(spark):
 )
 def test_empty_tables(spark, operator):
     assert operator(table(spark, []).limit(0)).count() == 0
+
+
+def test_suffix_order_compares_few_hashes():
+    """Suffixes that differ in their first bytes are told apart without a hash; the order is that of the bytes."""
+    rng = np.random.default_rng(4)
+    data = np.r_[rng.integers(97, 100, 4000), np.full(300, 97), rng.integers(200, 256, 500)].astype(np.uint8)
+    order = suffix_dedup.SuffixOrder(data)
+    x, y = rng.integers(0, len(order.whole), 3000), rng.integers(0, len(order.whole), 3000)
+    text = data.tobytes()
+    cut = suffix_dedup.LENGTH
+    calls, of = [], order.hashes.of
+    order.hashes.of = lambda at, length: calls.append(len(at)) or of(at, length)
+    for equal in (False, True):
+        got = order.before(x, y, np.full(len(x), equal))
+        want = [text[i : i + cut] < text[j : j + cut] or (equal and text[i : i + cut] == text[j : j + cut]) for i, j in zip(x, y)]
+        assert got.tolist() == want
+    assert sum(calls) < 2 * len(x)
