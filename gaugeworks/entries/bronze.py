@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 
 from gaugeworks.entries.registry import ORACLES, query
 from gaugeworks.entries.twin import activity_cte
-from gaugeworks.entries.warehouse import TABLES, Warehouse, load
+from gaugeworks.entries.warehouse import TABLES, Warehouse, load, measured
 from gaugeworks.functions.clean import empty_to_null, to_double, to_int
 from gaugeworks.functions.units import NANOMOLAR
 from gaugeworks.plans import bronze
+from gaugeworks.session import configure, spread
 from gaugeworks.sources.catalog import describe_tables
 from gaugeworks.sources.json_pages import RAW_RECORDS, filter_records
 from gaugeworks.sources.lake import row_counts
@@ -240,20 +241,18 @@ class Source:
             F.col("o_orderpriority").alias("journal"),
             F.year("o_orderdate").alias("year"),
         )
-        lines = Warehouse(spark, sf_dir).measured_lines
-        self.activities = lines.select(
-            "activity_id",
-            F.col("l_suppkey").alias("assay_id"),
-            F.col("molecule_chembl_id").alias("molregno"),
-            F.col("l_orderkey").alias("doc_id"),
-            "standard_type",
-            "standard_relation",
-            "standard_value",
-            "standard_units",
-            "pchembl_value",
-            F.lit(None).cast("string").alias("activity_comment"),
-            "data_validity_comment",
-        )
+        configure(spark)
+        keys = {"l_suppkey": "assay_id", "l_partkey": "molregno", "l_orderkey": "doc_id"}
+        lines = spread(table("lineitem"), "l_orderkey")
+        self.activities = lines.drop("l_shipdate").withColumnsRenamed(keys)
+
+    @staticmethod
+    def measured(lines):
+        """Type, value and unit of line items; the source does not store them."""
+        keys = {"assay_id": "l_suppkey", "molregno": "l_partkey", "doc_id": "l_orderkey"}
+        ids = [f"{kind}_chembl_id" for kind in ("molecule", "target", "assay", "document")]
+        comment = F.lit(None).cast("string").alias("activity_comment")
+        return measured(lines.withColumnsRenamed(keys), *ids, comment)
 
     @property
     def scope(self):
@@ -304,7 +303,9 @@ def scope_semi_join(spark, sf_dir):
 )
 def activity_extract(spark, sf_dir):
     source = Source(spark, sf_dir)
-    return bronze.extract_activities(source.activities, source.scope, source.molecules, source.docs)
+    return bronze.extract_activities(
+        source.activities, source.scope, source.molecules, source.docs, measured=source.measured
+    )
 
 
 @query(
@@ -360,6 +361,7 @@ def _entities(s: Source):
         structures=s.structures,
         properties=s.properties,
         docs=s.docs,
+        measured=s.measured,
     )
 
 

@@ -102,6 +102,22 @@ def priority_confidence(priority: str = "o_orderpriority") -> Column:
     )
 
 
+def measured(lines: DataFrame, *keep: str | Column) -> DataFrame:
+    """Id, type, value, unit and base value of line items, after the columns to ``keep``."""
+    told = lines.select(
+        *keep,
+        line_id().alias("activity_id"),
+        raw_type().alias("standard_type"),
+        raw_relation().alias("standard_relation"),
+        F.when(F.col("l_quantity") != 1, F.col("l_extendedprice")).alias("standard_value"),
+        raw_units().alias("standard_units"),
+        "l_discount",
+        F.when(F.col("l_quantity") >= 48, "flag").alias("data_validity_comment"),
+    )
+    potency = F.round(9 - F.log10("standard_value_nm"), 2)
+    return with_base_value(told).withColumn("pchembl_value", F.when(F.col("l_discount") != 0, potency))
+
+
 def _activity_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "activity_id",
@@ -139,22 +155,8 @@ class Warehouse:
     @cached_property
     def measured_lines(self) -> DataFrame:
         """Line items with type, value, unit and base value, before any join."""
-        measured = spread(self.table("lineitem"), "l_orderkey").select(
-            line_id().alias("activity_id"),
-            "l_orderkey",
-            "l_suppkey",
-            F.col("l_partkey").alias("molecule_chembl_id"),
-            raw_type().alias("standard_type"),
-            raw_relation().alias("standard_relation"),
-            F.when(F.col("l_quantity") != 1, F.col("l_extendedprice")).alias("standard_value"),
-            raw_units().alias("standard_units"),
-            "l_discount",
-            F.when(F.col("l_quantity") >= 48, "flag").alias("data_validity_comment"),
-        )
-        potency = F.round(9 - F.log10("standard_value_nm"), 2)
-        return with_base_value(measured).withColumn(
-            "pchembl_value", F.when(F.col("l_discount") != 0, potency)
-        )
+        keys = ("l_orderkey", "l_suppkey", F.col("l_partkey").alias("molecule_chembl_id"))
+        return measured(spread(self.table("lineitem"), "l_orderkey"), *keys)
 
     @cached_property
     def measurements(self) -> DataFrame:

@@ -6,6 +6,8 @@ JSON records (``project_*``). Both give the columns of ``contracts``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,14 +172,25 @@ def extract_activities(
     molecules: DataFrame,
     docs: DataFrame,
     scale: UnitScale = NANOMOLAR,
+    measured: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    return typed_activities(scoped_activities(activities, scope), molecules, docs, scale)
+    """See ``typed_activities``. The scope is written, so that the planner knows how small it is."""
+    scoped = scoped_activities(activities, materialize(scope))
+    return typed_activities(scoped, molecules, docs, scale, measured)
 
 
 def typed_activities(
-    scoped: DataFrame, molecules: DataFrame, docs: DataFrame, scale: UnitScale = NANOMOLAR
+    scoped: DataFrame,
+    molecules: DataFrame,
+    docs: DataFrame,
+    scale: UnitScale = NANOMOLAR,
+    measured: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """In-scope activities with the ids of their molecule and document, typed and in one unit."""
+    """In-scope activities with the ids of their molecule and document, typed and in one unit.
+
+    ``measured`` makes columns that the activities do not store: it gets the joined rows and keeps
+    the four ids. It works after the last join, so no shuffle carries what it makes.
+    """
     mols = molecules.select(
         F.col("molregno").alias("_mol"), F.col("chembl_id").alias("molecule_chembl_id")
     )
@@ -187,6 +200,7 @@ def typed_activities(
     joined = scoped.join(mols, scoped["molregno"] == mols["_mol"]).join(
         papers, scoped["doc_id"] == papers["_doc"], "left"
     )
+    joined = measured(joined) if measured else joined
     typed = joined.select(
         "activity_id",
         "molecule_chembl_id",
@@ -280,8 +294,9 @@ def extract_entities(
     structures: DataFrame,
     properties: DataFrame,
     docs: DataFrame,
+    measured: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """All five bronze entities.
+    """All five bronze entities; ``measured`` as in ``typed_activities``.
 
     The scope is written once, and so are its activities: they are joined on the scope key
     once, and the extracts that depend on them read the one column they need of what is
@@ -292,7 +307,7 @@ def extract_entities(
     return {
         "target": extract_targets(targets, seeds),
         "assay": extract_assays(scope),
-        "activity": typed_activities(scoped, molecules, docs),
+        "activity": typed_activities(scoped, molecules, docs, measured=measured),
         "molecule": tested_molecules(molecules, structures, properties, scoped),
         "document": named_documents(docs, scoped, scope),
     }
