@@ -325,8 +325,8 @@ class Warehouse:
 
     @cached_property
     def dq(self) -> DataFrame:
-        graded = gold.attach(self.stg_activity, self.dims, ("assay",))
-        return gold.data_quality_summary(graded, measurements=self.stg_undocumented)
+        documents = self.stg_activity.select("document_chembl_id")
+        return gold.data_quality_summary(self.graded, measurements=self.stg_undocumented, documents=documents)
 
     @cached_property
     def edges(self) -> DataFrame:

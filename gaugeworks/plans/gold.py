@@ -410,16 +410,24 @@ def issues(curation: Curation) -> list:
 
 
 def data_quality_summary(
-    facts: DataFrame, curation: Curation | None = None, measurements: DataFrame | None = None
+    facts: DataFrame,
+    curation: Curation | None = None,
+    measurements: DataFrame | None = None,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """All metrics as (metric_group, metric, value): one pass, plus one for replicates.
 
     ``measurements``, when given, is the staged table behind the fact: replicates
-    need no dimension, so they can be counted without any of the fact's joins.
+    need no dimension, so they can be counted without any of the fact's joins. ``documents``
+    has the document ids of ``facts`` that come without: only they are joined to be counted.
     """
     curation = curation or Curation()
-    metrics = [*volume(), *completeness(curation), *issues(curation)]
+    apart = () if documents is None else ("total_documents",)
+    metrics = [*[m for m in volume() if m[1] not in apart], *completeness(curation), *issues(curation)]
     single_pass = long_metrics(facts, [*metrics, *exclusion_metrics(curation.rules)])
+    if documents is not None:
+        counts = [m for m in volume() if m[1] in apart]
+        single_pass = single_pass.unionByName(long_metrics(documents, counts))
     seen = single_pass.filter("metric_group <> 'excluded_by_reason' or value > 0")
     repeated = facts if measurements is None else measurements
     return seen.unionByName(surplus_rows(repeated, REPLICATE_KEYS, "duplicate_measurements"))
