@@ -509,7 +509,7 @@ def compare_targets(spark, sf_dir):
     ),
 )
 def semantic_models(spark, sf_dir):
-    w = _warehouse(spark, sf_dir)
+    w = Warehouse(spark, sf_dir, replicates=True, shared=True)
     names = serving.register_models(
         {
             "mart_compound_target_potency": w.curated,

@@ -141,11 +141,12 @@ class Warehouse:
     """Bronze, silver and gold of one benchmark directory, each a lazy DataFrame.
 
     ``replicates=True`` takes the supplier as the assay, which gives many repeated
-    measurements of the same compound, target, assay and type.
+    measurements of the same compound, target, assay and type. ``shared=True`` writes the
+    curated rows once for all marts that are made of their ids and values.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, replicates: bool = False):
-        self.spark, self.sf_dir, self.replicates = configure(spark), sf_dir, replicates
+    def __init__(self, spark: SparkSession, sf_dir: str, replicates: bool = False, shared: bool = False):
+        self.spark, self.sf_dir, self.replicates, self.shared = configure(spark), sf_dir, replicates, shared
 
     def table(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
@@ -297,6 +298,11 @@ class Warehouse:
             )
         )
 
+    @property
+    def curated_source(self) -> DataFrame:
+        """What the marts of curated ids and values read."""
+        return self.curated_table if self.shared else self.curated_ids
+
     @cached_property
     def curated_named(self) -> DataFrame:
         """Curated rows with compound and target names."""
@@ -304,7 +310,7 @@ class Warehouse:
             "molecule_chembl_id", F.col("pref_name").alias("compound_name")
         )
         target = self.dims.target.select("target_chembl_id", "target_name")
-        return self.curated_ids.join(compound, "molecule_chembl_id", "left").join(
+        return self.curated_source.join(compound, "molecule_chembl_id", "left").join(
             target, "target_chembl_id", "left"
         )
 
@@ -316,7 +322,7 @@ class Warehouse:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return gold.compound_profile(self.stg_undocumented, self.curated_ids, self.dims.compound)
+        return gold.compound_profile(self.stg_undocumented, self.curated_source, self.dims.compound)
 
     @cached_property
     def quality(self) -> DataFrame:
@@ -334,4 +340,4 @@ class Warehouse:
 
     @cached_property
     def similarity(self) -> DataFrame:
-        return relationships.target_similarity(self.curated_ids, self.dims.target)
+        return relationships.target_similarity(self.curated_source, self.dims.target)
