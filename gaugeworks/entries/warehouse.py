@@ -177,9 +177,9 @@ class Warehouse:
             F.col("o_orderkey").alias("_order"), F.col("o_custkey").alias("document_chembl_id")
         )
         lines = self.measurements
-        return _activity_columns(
-            lines.join(customer, lines["l_orderkey"] == customer["_order"], "left")
-        )
+        # on the assay id where it is the order, so that the join with the assays needs no further shuffle
+        order = "l_orderkey" if self.replicates else "assay_chembl_id"
+        return _activity_columns(lines.join(customer, lines[order] == customer["_order"], "left"))
 
     @cached_property
     def molecule(self) -> DataFrame:

@@ -11,7 +11,7 @@ order of the results, a question's best places are known before any item is look
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,8 @@ BITMAP_PLACES = 32_768
 BUCKET_ITEMS = BITMAP_PLACES // 2
 # More places than this and a bitmap is the smaller form.
 LIST_PLACES = 1024
+# Texts that a task holds at a time.
+HELD_BYTES = 1 << 25
 
 MUST, SHOULD = "must", "should"
 
@@ -65,6 +67,64 @@ def numbered(items: DataFrame, item_id: str, buckets: int, order: Sequence[Colum
     )
 
 
+def _places_of_values(named: Sequence[tuple[str, bool]]):
+    """Items (bucket, place, a column per field) -> (field, analysed, value, bucket, places), a bucket's worth of items at a time."""
+
+    def gather(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = pa.Table.from_batches(held).combine_chunks()
+        numbers, bucket = np.unique(items.column("bucket").to_numpy(), return_inverse=True)
+        place = items.column("place").to_numpy()
+        for n, (field, analysed) in enumerate(named):
+            column = pc.dictionary_encode(items.column(f"_{n}").combine_chunks())
+            if isinstance(column, pa.ChunkedArray):
+                column = column.combine_chunks()
+            has = np.flatnonzero(pc.is_valid(column.indices).to_numpy(zero_copy_only=False))
+            if not len(has):
+                continue
+            code = column.indices.take(pa.array(has)).to_numpy().astype(np.int64)
+            key = bucket[has] * len(column.dictionary) + code
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[starts, len(key)].astype(np.int32)
+            at, value = np.divmod(key[starts], len(column.dictionary))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([field] * len(starts), pa.string()),
+                    pa.array([analysed] * len(starts), pa.bool_()),
+                    column.dictionary.take(pa.array(value)).cast(pa.string()),
+                    pa.array(numbers[at], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(place[has][order], pa.int16())),
+                ],
+                names=["field", "analysed", "value", "bucket", "places"],
+            )
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= BITMAP_PLACES or size >= HELD_BYTES:
+                yield from gather(held)
+                held, rows, size = [], 0, 0
+        if rows:
+            yield from gather(held)
+
+    return places
+
+
+def _as_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of places as bitmaps of the layout of Spark's bitmap functions."""
+    for batch in batches:
+        bits = []
+        for places in batch.column("places"):
+            held = np.zeros(BITMAP_PLACES, dtype=bool)
+            held[places.values.to_numpy()] = True
+            bits.append(np.packbits(held, bitorder="little").tobytes())
+        kept = [batch.column(c) for c in ("field", "term", "bucket")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(bits, pa.binary())], names=["field", "term", "bucket", "bits"])
+
+
 def write_bitmaps(
     items: DataFrame, item_id: str, texts: Sequence[str], keywords: Sequence[str], path: str, order: Sequence[Column]
 ) -> BitmapIndex:
@@ -73,7 +133,8 @@ def write_bitmaps(
     ``order`` is the order of results; it should be total.
 
     Places of a term are gathered per bucket, so a term of all items is as many rows as there are
-    buckets, and no row is longer than a bucket. NULL texts and values have no terms.
+    buckets, and no row is longer than a bucket. Equal values that lie together are analysed once, and
+    their places travel as one row. NULL texts and values have no terms.
     """
     spark = items.sparkSession
     # written, as they are counted, looked at for the ranges, and sorted
@@ -82,23 +143,21 @@ def write_bitmaps(
     numbered(plain, item_id, buckets, order).write.mode("overwrite").parquet(f"{path}/items")
     remove(spark, scratch)
     stored = spark.read.parquet(f"{path}/items")
-    none = F.array().cast("array<string>")
-    held = [F.struct(F.lit(t).alias("field"), F.coalesce(F.array_distinct(tokens(t)), none).alias("terms")) for t in texts]
-    held += [
-        F.struct(F.lit(k).alias("field"), F.array_compact(F.array(F.col(k).cast("string"))).alias("terms")) for k in keywords
-    ]
-    terms = stored.select("bucket", "place", F.inline(F.array(*held))).select(
-        "field", F.explode("terms").alias("term"), "bucket", F.col("place").cast("smallint").alias("place")
+    named = [(t, True) for t in texts] + [(k, False) for k in keywords]
+    sources = [F.col(n).cast("string").alias(f"_{i}") for i, (n, _) in enumerate(named)]
+    valued = stored.select("bucket", F.col("place").cast("smallint").alias("place"), *sources).mapInArrow(
+        _places_of_values(named), "field string, analysed boolean, value string, bucket long, places array<smallint>"
     )
+    words = F.when(F.col("analysed"), F.array_distinct(tokens("value"))).otherwise(F.array("value"))
+    terms = valued.select("field", F.explode(words).alias("term"), "bucket", "places")
     # the term leads, as sorts compare the first key's prefix before anything else
-    gathered = materialize(terms.groupBy("term", "bucket", "field").agg(F.collect_list("place").alias("places")))
+    gathered = materialize(terms.groupBy("term", "bucket", "field").agg(F.flatten(F.collect_list("places")).alias("places")))
     few = F.size("places") <= LIST_PLACES
     gathered.filter(few).select("field", "term", "bucket", "places").write.mode("overwrite").parquet(f"{path}/lists")
     (
         gathered.filter(~few)
-        .select("field", "term", "bucket", F.explode("places").alias("place"))
-        .groupBy("field", "term", "bucket")
-        .agg(F.bitmap_construct_agg(F.col("place").cast("long")).alias("bits"))
+        .select("field", "term", "bucket", "places")
+        .mapInArrow(_as_bits, "field string, term string, bucket long, bits binary")
         .write.mode("overwrite")
         .parquet(f"{path}/bits")
     )
@@ -170,8 +229,25 @@ def _bools(bits: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
 
 
-def _answer(at_most: Mapping[str, str], at_least: Mapping[str, str], limit: str | None):
-    """The places of a bucket that each question takes: (its questions and clauses, its numbers) -> (question, bucket, place)."""
+def _by_place(asked: pa.Table, rows: np.ndarray, places: np.ndarray) -> pa.Table:
+    """(questions, bucket, place): row ``rows[i]`` of a bucket's questions takes place ``places[i]``."""
+    order = np.argsort(places, kind="stable")
+    places = places[order]
+    starts = np.flatnonzero(np.r_[True, places[1:] != places[:-1]][: len(places)])
+    ends = np.r_[starts, len(places)].astype(np.int32)
+    questions = asked.column("question").combine_chunks().take(pa.array(rows[order]))
+    if isinstance(questions, pa.ChunkedArray):
+        questions = questions.combine_chunks()
+    bucket = asked.column("bucket").take(pa.array(rows[order][starts]))
+    listed = pa.ListArray.from_arrays(pa.array(ends), questions)
+    return pa.table({"questions": listed, "bucket": bucket, "place": pa.array(places[starts], pa.int64())})
+
+
+def _answer(at_most: Mapping[str, str], at_least: Mapping[str, str], limit: str | None, together: bool):
+    """The places of a bucket that each question takes: (its questions and clauses, its numbers) -> (question, bucket, place).
+
+    ``together`` gives a place once, with all its questions: (questions, bucket, place).
+    """
 
     def answer(asked: pa.Table, numbers: pa.Table) -> pa.Table:
         place = numbers.column("place").to_numpy()
@@ -208,6 +284,8 @@ def _answer(at_most: Mapping[str, str], at_least: Mapping[str, str], limit: str
                 places = places[: row[limit]]
             rows.append(np.full(len(places), n, dtype=np.int64))
             taken.append(places)
+        if together:
+            return _by_place(asked, np.concatenate([none, *rows]), np.concatenate([none, *taken]))
         source = asked.select(["question", "bucket"]).take(pa.array(np.concatenate([none, *rows])))
         return source.append_column("place", pa.array(np.concatenate([none, *taken])))
 
@@ -220,9 +298,12 @@ def matches(
     at_most: Mapping[str, str] | None = None,
     at_least: Mapping[str, str] | None = None,
     limit: str | None = None,
+    together: bool = False,
 ) -> DataFrame:
     """(question, bucket, place) of the items each question asks for, at most ``limit`` of each bucket.
 
+    ``together`` gives (questions, bucket, place): one row per item and block of questions, not one per question.
+
     A question without a required clause, and with no optional one it insists on, asks for all items.
     ``at_most`` and ``at_least`` name a column of the questions for a number of the items; NULL sets no
     bound, and an item without the number is within none. ``limit`` names a column, too.
@@ -239,10 +320,11 @@ def matches(
     told = everywhere.unionByName(bits, allowMissingColumns=True)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
     numbers = index.items.select("bucket", "place", *sorted({*at_most, *at_least}), every)
+    told_by = "questions array<long>" if together else "question long"
     return (
         told.groupBy("bucket", "block")
         .cogroup(numbers.groupBy("bucket", "block"))
-        .applyInArrow(_answer(at_most, at_least, limit), "question long, bucket long, place long")
+        .applyInArrow(_answer(at_most, at_least, limit, together), f"{told_by}, bucket long, place long")
     )
 
 
@@ -262,10 +344,12 @@ def search_batch(
     columns = [c for c in index.items.columns if c not in ("bucket", "place")]
     settings = sorted({*(at_most or {}).values(), *(at_least or {}).values(), *([limit] if limit else [])})
     asked = questions_of(requests, clauses, settings)
-    places = matches(index, asked, at_most, at_least, limit)
+    places = matches(index, asked, at_most, at_least, limit, together=limit is None)
     unranked = F.lit(None).cast("int").alias("rank")
     if limit is None:
-        return places.join(index.items, ["bucket", "place"]).join(asked.asked, "question").select("request", unranked, *columns)
+        # an item is looked up once, whatever the number of questions that take it
+        looked_up = places.join(index.items, ["bucket", "place"]).withColumn("question", F.explode("questions"))
+        return looked_up.join(asked.asked, "question").select("request", unranked, *columns)
     most = requests.agg(F.max(limit)).first()[0] or 0
     found = places.join(asked.questions.select("question", F.col(limit).alias("_wish")), "question")
     unlimited = asked.questions.filter(F.col(limit).isNull()).limit(1).count() > 0

@@ -142,3 +142,23 @@ def test_buckets_follow_the_order_of_results(spark, tmp_path, monkeypatch):
     index = bitmap_search.write_bitmaps(spark.createDataFrame(made_items(300), ITEMS), "id", ["name"], ["kind"], str(tmp_path), order())
     by_place = [r["id"] for r in index.items.orderBy("bucket", "place").collect()]
     assert by_place == [r["id"] for r in index.items.orderBy(*order()).collect()]
+
+
+def test_equal_values_are_analysed_once_and_items_looked_up_once(spark, tmp_path):
+    """A value is a row per task and bucket, not per item; an item is a row, whatever the number of its questions."""
+    items = spark.range(2000).select("id", F.when(F.col("id") < 1999, "alpha beta").alias("name")).coalesce(1)
+    index = bitmap_search.write_bitmaps(items, "id", ["name"], [], str(tmp_path), [F.col("id").asc()])
+    stored = index.items.coalesce(1).select("bucket", F.col("place").cast("smallint").alias("place"), F.col("name").alias("_0"))
+    valued = stored.mapInArrow(
+        bitmap_search._places_of_values([("name", True)]), "field string, analysed boolean, value string, bucket long, places array<smallint>"
+    )
+    assert [(r["value"], sorted(r["places"])) for r in valued.collect()] == [("alpha beta", list(range(1999)))]
+    requests = spark.range(5).select(
+        F.col("id").alias("request"), F.col("id").cast("int").alias("least_should"), F.lit("beta").alias("name")
+    )
+    clauses = bitmap_search.union_of([bitmap_search.clause_of(requests, n, SHOULD, "name", ["name"]) for n in range(3)])
+    asked = bitmap_search.questions_of(requests, clauses, [])
+    found = bitmap_search.matches(index, asked, together=True).collect()
+    assert len(found) == 2000
+    # at least none of three clauses is met by all, four of three by none
+    assert sorted(len(r["questions"]) for r in found) == [1, *[4] * 1999]

@@ -6,6 +6,7 @@ import pytest
 
 from gaugeworks.entries import QUERIES
 from gaugeworks.entries.bronze import Source
+from gaugeworks.entries.warehouse import Warehouse
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -22,3 +23,16 @@ def test_measured_columns_need_the_ids_only(spark):
     source = Source(spark, SMALL)
     assert "activity_id" not in source.activities.columns
     assert {"assay_id", "molregno", "doc_id"} <= set(source.activities.columns)
+
+
+def test_measurements_meet_orders_and_assays_after_one_shuffle(spark):
+    """Where the order is the assay, documents and assays are joined on one column."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Warehouse(spark, SMALL).curated._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("hashpartitioning(assay_chembl_id") == 1
+    # the other shuffle by order is the one that spreads a small file
+    assert plan.count("hashpartitioning(l_orderkey") == plan.count("REPARTITION_BY_NUM") <= 1
