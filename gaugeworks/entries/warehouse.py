@@ -77,15 +77,10 @@ def raw_type() -> Column:
 
 def raw_units() -> Column:
     line = F.col("l_linenumber")
-    return (
-        F.when(line == 1, "nM")
-        .when(line == 2, " uM ")
-        .when(line == 3, "mM")
-        .when(line == 4, "pM")
-        .when(line == 5, "%")
-        .when(line == 6, "")
-        .when((line == 7) & (F.col("l_suppkey") % 2 == 0), "nM")
-    )
+    # looked up by place: a chain of conditions is repeated wherever the unit is used, and makes the scan's code too long
+    first = F.array(*[F.lit(u) for u in (None, "nM", " uM ", "mM", "pM", "%", "")])
+    last = F.when(F.col("l_suppkey") % 2 == 0, "nM")
+    return F.when(line == 7, last).otherwise(F.get(first, line))
 
 
 def raw_relation() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,3 +31,19 @@ def top_per_group(
     """The first ``k`` rows of each group, with their rank. Limited before the shuffle."""
     ranked = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(ranked)).filter(F.col(rank) <= k)
+
+
+def distinct_counts(df: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame:
+    """One row per known ``key`` with the number of distinct values of each column (output name -> input column).
+
+    Each column is made distinct in an aggregation of its own: its rows are as narrow as the column, where
+    several ``count_distinct`` at once would copy every row once a column, all columns wide. A key whose
+    values are all NULL in a column has NULL there.
+    """
+    known = df.filter(F.col(key).isNotNull())
+    out = None
+    for name, column in columns.items():
+        counted = known.select(key, F.col(column).alias("_value")).filter("_value is not null").distinct()
+        counted = counted.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+        out = counted if out is None else out.join(counted, key, "full")
+    return out

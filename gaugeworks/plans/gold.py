@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.rules import RuleSet, potency_rules
-from gaugeworks.operators.dedup import keep_first
+from gaugeworks.operators.dedup import distinct_counts, keep_first
 from gaugeworks.operators.quality import (
     completeness_metrics,
     exclusion_metrics,
@@ -40,6 +40,13 @@ class Curation:
     def min_confidence(self) -> int:
         return self.rules.min_confidence
 
+    def counts(self, df: DataFrame, key: str, ids: str, columns: Mapping[str, str]) -> DataFrame:
+        """Per known key: the ids of ``df`` as ``ids`` and the distinct values of ``columns``."""
+        if not self.unique_ids:
+            return distinct_counts(df, key, {ids: "activity_id", **columns})
+        plain = df.filter(F.col(key).isNotNull()).groupBy(key).agg(self.id_count().alias(ids))
+        return plain.join(distinct_counts(df, key, columns), key, "full")
+
     def id_count(self):
         return F.count("activity_id") if self.unique_ids else F.count_distinct("activity_id")
 
@@ -235,16 +242,14 @@ def target_activity_summary(
     """
     curation = curation or Curation()
     key = "target_chembl_id"
-    coverage = facts.groupBy(key).agg(
-        curation.id_count().alias("total_measurements"),
-        F.count_distinct("molecule_chembl_id").alias("total_compounds_tested"),
-        F.count_distinct("assay_chembl_id").alias("total_assays"),
-    )
-    counts = curated.groupBy(key).agg(
-        curation.id_count().alias("curated_measurements"),
-        F.count_distinct("molecule_chembl_id").alias("active_compounds"),
-        F.max("pchembl_value").alias("best_pchembl"),
+    coverage = curation.counts(
+        facts,
+        key,
+        "total_measurements",
+        {"total_compounds_tested": "molecule_chembl_id", "total_assays": "assay_chembl_id"},
     )
+    counts = curation.counts(curated, key, "curated_measurements", {"active_compounds": "molecule_chembl_id"})
+    best = curated.groupBy(key).agg(F.max("pchembl_value").alias("best_pchembl"))
     medians = exact_quantiles(
         curated.filter(F.col(key).isNotNull()),
         [key],
@@ -254,6 +259,7 @@ def target_activity_summary(
         targets.select(key, "target_name", "organism")
         .join(coverage, key, "left")
         .join(counts, key, "left")
+        .join(best, key, "left")
         .join(medians, key, "left")
         .select(
             key,
