@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gaugeworks.entries.registry import query
 from gaugeworks.entries.twin import CURATED, DQ, PROFILE, QUALITY, REASON, SUMMARY, twin
 from gaugeworks.entries.warehouse import Warehouse
+from gaugeworks.functions.keys import surrogate_key
 from gaugeworks.functions.rules import potency_rules
 from gaugeworks.operators import checks
 from gaugeworks.plans import gold, silver
 from gaugeworks.plans.contract_checks import curated_contract, warehouse_suite
 from gaugeworks.plans.gold import REPLICATE_KEYS
-from gaugeworks.session import materialize
+from gaugeworks.session import materialize, remove, shuffles_removed, written
 
 
 def _warehouse(spark, sf_dir):
@@ -197,29 +200,82 @@ def _suite_sql() -> str:
     )
 
 
+# The most turns in which measurements are staged and joined, and line items that are worth one.
+MOST_TURNS = 8
+LINES_A_TURN = 500_000
+# Keys of the fact that are hashes of a natural id, where that is known.
+HASHED = {
+    "compound_key": "molecule_chembl_id",
+    "target_key": "target_chembl_id",
+    "assay_key": "assay_chembl_id",
+    "document_key": "document_chembl_id",
+}
+
+
+def _in_turns(df, turns):
+    """The rows of ``df`` in ``turns`` parts, each written before the next one is made; with the paths."""
+    turn = F.pmod(F.xxhash64("molecule_chembl_id", "assay_chembl_id"), F.lit(turns))
+    return [written(df.filter(turn == t), codec="zstd") for t in range(turns)]
+
+
+def _stored_facts(facts):
+    """``facts`` written without their hashes, which are long and do not compress: only whether there is one."""
+    stored, _ = written(facts.withColumns({key: F.col(key).isNotNull() for key in HASHED}), codec="zstd")
+    return stored.withColumns({key: F.when(F.col(key), surrogate_key(natural)) for key, natural in HASHED.items()})
+
+
+def _together(parts):
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("check_suite", _suite_sql())
 def check_suite(spark, sf_dir):
+    """Every check of every table, each in a job of its own that leaves no shuffle files.
+
+    Measurements are staged and joined in turns, and a turn's staged rows go when its facts are
+    written, so the joins never hold all of them at once.
+    """
     w = _warehouse(spark, sf_dir)
-    staged, dims = materialize(w.stg_activity), w.dims
-    facts = materialize(gold.fact(staged, dims))
-    curated = materialize(gold.curated_mart(facts, dims))
-    return warehouse_suite(
-        {
-            "bronze_activity": w.activity,
-            "stg_activity": staged,
-            "stg_compound": silver.stage_compound(w.molecule),
-            "stg_target": silver.stage_target(w.target),
-            "stg_assay": silver.stage_assay(w.assay),
-            "stg_document": silver.stage_document(w.document),
-            "dim_compound": dims.compound,
-            "dim_target": dims.target,
-            "dim_assay": dims.assay,
-            "dim_document": dims.document,
-            "fact_bioactivity_result": facts,
-            "mart_compound_target_potency": curated,
-            "mart_target_activity_summary": gold.target_activity_summary(facts, curated, dims.target),
-            "mart_compound_profile": gold.compound_profile(facts, curated, dims.compound),
-            "mart_assay_quality": gold.assay_quality(facts, dims.assay, dims.target),
-            "mart_data_quality_summary": gold.data_quality_summary(facts),
-        }
-    )
+    with shuffles_removed(spark):
+        dims = w.dims
+        turns = max(1, min(MOST_TURNS, -(-w.table("lineitem").count() // LINES_A_TURN)))
+        staged = _in_turns(w.stg_activity, turns)
+        results = [
+            warehouse_suite(
+                {
+                    "bronze_activity": w.activity,
+                    "stg_activity": _together([part for part, _ in staged]),
+                    "stg_compound": silver.stage_compound(w.molecule),
+                    "stg_target": silver.stage_target(w.target),
+                    "stg_assay": silver.stage_assay(w.assay),
+                    "stg_document": silver.stage_document(w.document),
+                    "dim_compound": dims.compound,
+                    "dim_target": dims.target,
+                    "dim_assay": dims.assay,
+                    "dim_document": dims.document,
+                },
+                one_by_one=True,
+            )
+        ]
+        parts = []
+        for part, path in staged:
+            parts.append(_stored_facts(gold.fact(part, dims)))
+            remove(spark, path)
+        facts = _together(parts)
+        curated = materialize(gold.curated_mart(facts, dims))
+        apart = gold.Curation(apart=True)
+        results.append(
+            warehouse_suite(
+                {
+                    "fact_bioactivity_result": facts,
+                    "mart_compound_target_potency": curated,
+                    "mart_target_activity_summary": materialize(gold.target_activity_summary(facts, curated, dims.target, apart)),
+                    "mart_compound_profile": materialize(gold.compound_profile(facts, curated, dims.compound, apart)),
+                    "mart_assay_quality": materialize(gold.assay_quality(facts, dims.assay, dims.target)),
+                    "mart_data_quality_summary": gold.data_quality_summary(facts),
+                },
+                parents={"dim_target": dims.target, "dim_compound": dims.compound},
+                one_by_one=True,
+            )
+        )
+    return _together(results)

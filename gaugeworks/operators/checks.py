@@ -128,15 +128,25 @@ def run_table_check(table: str, check: TableCheck) -> DataFrame:
     )
 
 
+RESULT = "table_name string, check_name string, severity string, failures bigint"
+
+
 def run_suite(
-    tables: Sequence[tuple[str, DataFrame, Sequence[RowCheck], Sequence[TableCheck]]]
+    tables: Sequence[tuple[str, DataFrame, Sequence[RowCheck], Sequence[TableCheck]]], one_by_one: bool = False
 ) -> DataFrame:
-    """All checks of all tables: (table_name, check_name, severity, failures, status)."""
+    """All checks of all tables: (table_name, check_name, severity, failures, status).
+
+    ``one_by_one=True`` runs each in a job of its own before it returns, so that only one
+    holds its shuffle files at a time; a result is a row per check.
+    """
     parts: list[DataFrame] = []
     for name, df, row_checks, table_checks in tables:
         if row_checks:
             parts.append(run_row_checks(df, name, row_checks))
         parts += [run_table_check(name, check) for check in table_checks]
+    if one_by_one:
+        rows = [tuple(row) for part in parts for row in part.collect()]
+        parts = [parts[0].sparkSession.createDataFrame(rows, RESULT)]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

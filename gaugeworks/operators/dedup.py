@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.session import materialize
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every key group.
@@ -33,17 +35,19 @@ def top_per_group(
     return df.withColumn(rank, F.row_number().over(ranked)).filter(F.col(rank) <= k)
 
 
-def distinct_counts(df: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame:
+def distinct_counts(df: DataFrame, key: str, columns: Mapping[str, str], apart: bool = False) -> DataFrame:
     """One row per known ``key`` with the number of distinct values of each column (output name -> input column).
 
     Each column is made distinct in an aggregation of its own: its rows are as narrow as the column, where
     several ``count_distinct`` at once would copy every row once a column, all columns wide. A key whose
-    values are all NULL in a column has NULL there.
+    values are all NULL in a column has NULL there. ``apart=True`` writes each count before the next one is
+    made, so that ``df``, which is read once a column, is shuffled for one column at a time.
     """
     known = df.filter(F.col(key).isNotNull())
     out = None
     for name, column in columns.items():
         counted = known.select(key, F.col(column).alias("_value")).filter("_value is not null").distinct()
         counted = counted.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+        counted = materialize(counted) if apart else counted
         out = counted if out is None else out.join(counted, key, "full")
     return out

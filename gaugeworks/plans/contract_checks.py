@@ -58,9 +58,15 @@ def curated_contract(
     return RowCheck("curated_is_comparable", bad)
 
 
-def warehouse_suite(tables: Mapping[str, DataFrame], rules: RuleSet | None = None) -> DataFrame:
-    """Run every check whose table is given."""
+def warehouse_suite(
+    tables: Mapping[str, DataFrame],
+    rules: RuleSet | None = None,
+    parents: Mapping[str, DataFrame] | None = None,
+    one_by_one: bool = False,
+) -> DataFrame:
+    """Run every check whose table is given; ``parents`` are looked up by foreign keys and not checked."""
     rules = rules or potency_rules()
+    parents = {**(parents or {}), **tables}
     suite = []
     for name, df in tables.items():
         row_checks = [not_null(k) for k in KEYS.get(name, [])]
@@ -74,8 +80,8 @@ def warehouse_suite(tables: Mapping[str, DataFrame], rules: RuleSet | None = Non
         elif name == "fact_bioactivity_result":
             table_checks.append(reconciles(df, rules.reason()))
             for key, parent in (("target_key", "dim_target"), ("compound_key", "dim_compound")):
-                if parent in tables:
-                    table_checks.append(relationships(df, key, tables[parent], key))
+                if parent in parents:
+                    table_checks.append(relationships(df, key, parents[parent], key))
         elif name == "mart_compound_target_potency":
             row_checks += [
                 not_null("standard_value_nm"),
@@ -94,4 +100,4 @@ def warehouse_suite(tables: Mapping[str, DataFrame], rules: RuleSet | None = Non
         elif name == "mart_data_quality_summary":
             row_checks.append(not_null("value"))
         suite.append((name, df, row_checks, table_checks))
-    return run_suite(suite)
+    return run_suite(suite, one_by_one)

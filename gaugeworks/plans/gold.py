@@ -30,11 +30,12 @@ class Curation:
 
     Ids are counted distinct. ``unique_ids`` states that ``activity_id`` is known to be
     unique in the fact (the check suite tells); counting is then a plain count,
-    which spares the largest of the distinct expansions.
+    which spares the largest of the distinct expansions. ``apart`` makes each count in a job of its own.
     """
 
     rules: RuleSet = field(default_factory=potency_rules)
     unique_ids: bool = False
+    apart: bool = False
 
     @property
     def min_confidence(self) -> int:
@@ -43,9 +44,9 @@ class Curation:
     def counts(self, df: DataFrame, key: str, ids: str, columns: Mapping[str, str]) -> DataFrame:
         """Per known key: the ids of ``df`` as ``ids`` and the distinct values of ``columns``."""
         if not self.unique_ids:
-            return distinct_counts(df, key, {ids: "activity_id", **columns})
+            return distinct_counts(df, key, {ids: "activity_id", **columns}, self.apart)
         plain = df.filter(F.col(key).isNotNull()).groupBy(key).agg(self.id_count().alias(ids))
-        return plain.join(distinct_counts(df, key, columns), key, "full")
+        return plain.join(distinct_counts(df, key, columns, self.apart), key, "full")
 
     def id_count(self):
         return F.count("activity_id") if self.unique_ids else F.count_distinct("activity_id")
@@ -283,19 +284,17 @@ def compound_profile(
     """Properties plus activity and curated rollups, one row per compound."""
     curation = curation or Curation()
     key = "molecule_chembl_id"
-    activity = facts.groupBy(key).agg(
-        curation.id_count().alias("total_measurements"),
-        F.count_distinct("target_chembl_id").alias("targets_tested"),
-        F.count_distinct("assay_chembl_id").alias("assays_tested"),
+    activity = curation.counts(
+        facts, key, "total_measurements", {"targets_tested": "target_chembl_id", "assays_tested": "assay_chembl_id"}
     )
+    counts = curation.counts(curated, key, "curated_measurements", {"curated_targets": "target_chembl_id"})
     best = curated.groupBy(key).agg(
-        curation.id_count().alias("curated_measurements"),
-        F.count_distinct("target_chembl_id").alias("curated_targets"),
         F.max("pchembl_value").alias("best_pchembl"),
         F.min("standard_value_nm").alias("best_potency_nm"),
     )
     return (
         compounds.join(activity, key, "left")
+        .join(counts, key, "left")
         .join(best, key, "left")
         .select(
             key,
